@@ -9,7 +9,7 @@ catalog order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -60,14 +60,27 @@ def _extremes(field: T.StructField) -> dict[str, str]:
     }
 
 
-def column_facts(tables: Tables, rsd: float | None = None) -> DataFrame:
-    """One row per column from one ungrouped aggregate per table."""
+def column_facts(
+    tables: Tables, rsd: float | None = None, extremes: bool = True, dates: bool = False
+) -> DataFrame:
+    """One row per column from one ungrouped aggregate per table.
+
+    `rsd` adds approximate distinct counts, `dates` whether every value of a
+    string column reads as a date.
+    """
     parts = []
     for table, columns in columns_by_table(tables).items():
         aggregates, rows = ["count(1) AS n"], []
         for column_id, position, field in columns:
             column = values.clean(field.name, field.dataType)
-            measures = {"filled": f"count({column})", **_extremes(field)}
+            measures = {"filled": f"count({column})"}
+            if extremes:
+                measures |= _extremes(field)
+            if dates:
+                is_text = isinstance(field.dataType, T.StringType)
+                measures["date_like"] = (
+                    f"bool_and({values.parses_as_date(column)})" if is_text else "false"
+                )
             measures["distinct_count"] = (
                 "CAST(NULL AS BIGINT)" if rsd is None else f"approx_count_distinct({column}, {rsd})"
             )
@@ -123,28 +136,42 @@ def _first_values(df: DataFrame, column: str, keys: Sequence[str], size: int) ->
 
 
 def date_like_columns(
-    tables: Tables, order_by: OrderKeys | None = None, sample: int | None = 100
-) -> DataFrame | None:
+    tables: Tables, order_by: OrderKeys | None = None, sample: int = 100
+) -> DataFrame:
     """(column_id, date_like) for string columns: do the first values all read as dates?
 
-    Without an order the scan stops after the first values it meets; with
-    `sample=None` the whole column must parse.
+    With an order, the first values are a top-k per column. Without one, the
+    scan is read from its start until enough values are seen, usually in one
+    task, and only flags come back.
     """
-    parts = []
-    for column_id, table, _, field in catalog_columns(tables):
-        if not isinstance(field.dataType, T.StringType):
+    ordered, flags = [], []
+    for table, columns in columns_by_table(tables).items():
+        texts = [(i, f) for i, _, f in columns if isinstance(f.dataType, T.StringType)]
+        if not texts:
             continue
-        df, column = tables[table], values.quote(field.name)
-        if sample is not None:
-            df = _first_values(df, column, (order_by or {}).get(table, ()), sample)
-        parts.append(
-            df.selectExpr(
-                f"{column_id} AS column_id", f"{values.parses_as_date(column)} AS parses"
-            )
-        )
-    if not parts:
-        return None
-    return union_all(parts).groupBy("column_id").agg(F.bool_and("parses").alias("date_like"))
+        df, keys = tables[table], (order_by or {}).get(table, ())
+        parses = {i: values.parses_as_date(values.quote(f.name)) for i, f in texts}
+        if keys:
+            for i, f in texts:
+                first = _first_values(df, values.quote(f.name), keys, sample)
+                ordered.append(first.selectExpr(f"{i} AS column_id", f"{parses[i]} AS parses"))
+            continue
+        together = df.selectExpr(
+            *[f"CASE WHEN {values.quote(f.name)} IS NOT NULL THEN {parses[i]} END" for i, f in texts]
+        ).limit(sample).collect()
+        for place, (i, f) in enumerate(texts):
+            seen = [row[place] for row in together if row[place] is not None]
+            if len(seen) < len(together):
+                # Nulls among the first rows: read on until there are enough values.
+                column = values.quote(f.name)
+                rest = df.where(f"{column} IS NOT NULL").selectExpr(parses[i]).limit(sample)
+                seen = [row[0] for row in rest.collect()]
+            flags.append((i, bool(seen) and all(seen)))
+    session = next(iter(tables.values())).sparkSession
+    found = session.createDataFrame(flags, "column_id int, parses boolean")
+    return (
+        union_all([found, *ordered]).groupBy("column_id").agg(F.bool_and("parses").alias("date_like"))
+    )
 
 
 def _merge(facts: DataFrame, *extras: DataFrame | None) -> DataFrame:
@@ -187,20 +214,21 @@ def profile_columns(
     order_by: OrderKeys | None = None,
     type_sample: int | None = 100,
 ) -> DataFrame:
-    """The profile of every column of every table, one row per column."""
-    whole = _merge(
-        column_facts(tables, rsd if approximate else None),
+    """The profile of every column of every table, one row per column.
+
+    String columns are typed by their first `type_sample` values, in the order
+    of `order_by` if given, or with None by all their values.
+    """
+    return _merge(
+        column_facts(tables, rsd if approximate else None, dates=type_sample is None),
         None if approximate else distinct_counts(tables),
-        date_like_columns(tables, order_by, type_sample),
-    )
-    if "date_like" not in whole.columns:
-        whole = whole.withColumn("date_like", F.lit(False))
-    return whole.selectExpr(*PROFILE_COLUMNS)
+        None if type_sample is None else date_like_columns(tables, order_by, type_sample),
+    ).selectExpr(*PROFILE_COLUMNS)
 
 
 def profile_types(tables: Tables, order_by: OrderKeys | None = None) -> DataFrame:
     """Logical and storage type per column, with the filled cells behind the verdict."""
-    whole = _merge(column_facts(tables), date_like_columns(tables, order_by))
+    whole = _merge(column_facts(tables, extremes=False), date_like_columns(tables, order_by))
     return whole.selectExpr(
         "table_name",
         "column_name",
@@ -267,26 +295,47 @@ def _sample_text(field: T.StructField) -> Column:
 
 
 def profile_samples(
-    tables: Tables, order_by: OrderKeys | None = None, size: int = 5
+    tables: Tables,
+    order_by: OrderKeys | None = None,
+    size: int = 5,
+    complete: Mapping[str, Iterable[str]] | None = None,
 ) -> DataFrame:
     """(column_id, sample_values) of every column with values: the first
     non-null ones, masked for PII columns.
 
-    Each column is a bounded top-k over two pruned columns; nothing is
-    collected beyond `size` values, so the list has a fixed size.
+    With an order, a column is a bounded top-k over two pruned columns, and
+    columns known to be `complete` (no nulls) share one top-k per table: its
+    first rows. Without an order, scans are read from their start until there
+    are enough values. Either way a list never exceeds `size` values.
     """
-    parts = []
-    for column_id, table, _, field in catalog_columns(tables):
+    parts, taken = [], []
+    for table, columns in columns_by_table(tables).items():
         keys = (order_by or {}).get(table, ())
-        first = _first_values(tables[table], values.clean(field.name, field.dataType), keys, size)
-        # The prefix is one sorted partition, so running ids keep its order.
-        parts.append(
-            first.select(
-                F.expr(f"{column_id} AS column_id"),
-                F.expr("monotonically_increasing_id() AS place"),
-                _sample_text(field).alias("v"),
+        shared = set((complete or {}).get(table, ()))
+        groups = [[(i, f) for i, _, f in columns if f.name in shared]]
+        groups += [[(i, f)] for i, _, f in columns if f.name not in shared]
+        for group in filter(None, groups):
+            if group[0][1].name in shared:
+                rows = tables[table]
+                rows = (rows.orderBy(*[values.quote(k) for k in keys]) if keys else rows).limit(size)
+            else:
+                field = group[0][1]
+                rows = _first_values(tables[table], values.clean(field.name, field.dataType), keys, size)
+            texts = [_sample_text(f).alias(f"s{i}") for i, f in group]
+            if not keys:
+                for place, row in enumerate(rows.select(*texts).collect()):
+                    taken += [(i, place, row[f"s{i}"]) for i, _ in group]
+                continue
+            # The prefix is one sorted partition, so running ids keep its order.
+            pairs = ", ".join(f"{i}, s{i}" for i, _ in group)
+            parts.append(
+                rows.select(F.expr("monotonically_increasing_id() AS place"), *texts)
+                .selectExpr("place", f"stack({len(group)}, {pairs}) AS (column_id, v)")
+                .select("column_id", "place", "v")
             )
-        )
+    if taken or not parts:
+        session = next(iter(tables.values())).sparkSession
+        parts.append(session.createDataFrame(taken, "column_id int, place bigint, v string"))
     return (
         union_all(parts)
         .groupBy("column_id")

@@ -178,14 +178,16 @@ def vector_knn(
         return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g)
 
     measured = scoped.select(
-        quoted_key(key),
+        quoted_key(key), *keep, F.col(vector).alias("__vector"), packed.scalar().alias("__queries")
+    ).select(
+        key,
         *keep,
         F.inline(
             F.transform(
-                packed.scalar(),
+                "__queries",
                 lambda q: F.struct(
                     q["query_id"].alias("query_id"),
-                    squared(F.col(vector), q["query_vector"]).alias("distance"),
+                    squared(F.col("__vector"), q["query_vector"]).alias("distance"),
                 ),
             )
         ),

@@ -22,6 +22,14 @@ def text_dates(profiled: DataFrame) -> dict[str, set[str]]:
     return found
 
 
+def complete_columns(profiled: DataFrame) -> dict[str, set[str]]:
+    """Columns without nulls, per table: metadata, one entry per column."""
+    found: dict[str, set[str]] = {}
+    for row in profiled.where("null_count = 0").select("table_name", "column_name").collect():
+        found.setdefault(row["table_name"], set()).add(row["column_name"])
+    return found
+
+
 def quality_records(details: DataFrame) -> DataFrame:
     """One nested record per table: score, counts, column details, recommendations.
 
@@ -77,9 +85,9 @@ def ingest(
     owner = F.lit(dataset).alias("dataset")
 
     profiled = session.cut_lineage(
-        profile.profile_columns(tables, order_by=order_by, approximate=approximate)
+        profile.profile_columns(tables, approximate=approximate)
     )
-    samples = profile.profile_samples(tables, order_by)
+    samples = profile.profile_samples(tables, order_by, complete=complete_columns(profiled))
     described = column_description
     if described is None:
         described = catalog_queries.template_column_text(F.col("column_name"))

@@ -46,9 +46,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store an intermediate reliably so that later jobs do not recompute it."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate to shared storage and go on from there, so that
+    later jobs neither recompute it nor depend on the executors that made it."""
+    path = fresh_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -92,8 +93,15 @@ DATASETS: dict[str, dict[str, str]] = {
 }
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A base table; its footer is read for the schema only once."""
+    path = f"{sf_dir}/{table}.parquet"
+    if (sf_dir, table) not in _schemas:
+        _schemas[sf_dir, table] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[sf_dir, table]).parquet(path)
 
 
 def _dirty_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
