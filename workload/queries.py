@@ -165,11 +165,12 @@ def scan_json(spark, sf_dir):
             )
             .withColumn("also", F.array(F.struct(F.lit(1).alias("x"))))
             .select("zone", "records", "also")
-            .write.json(path)
+            .repartition("zone").write.option("maxRecordsPerFile", 1).json(path)
         )
         return path
 
-    return files.scan_json(spark, _once(spark, sf_dir, "json documents", make), record_path="records", lines=True)
+    df = files.scan_json(spark, _once(spark, sf_dir, "json documents", make), record_path="records")
+    return df.select(*[F.col(f"`{c}`").alias(c.replace(".", "_")) for c in df.columns])
 
 
 @query("flatten_nested")
