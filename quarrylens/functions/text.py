@@ -1,4 +1,4 @@
-"""Free-text rules: scrubbing, hit counts, secret redaction and word tokens."""
+"""Free-text rules: scrubbing, hit counts, secret redaction and word matches."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ SCRUB_PATTERNS = {
 }
 KEY_PATTERN = r"key=[a-zA-Z0-9_\-]+"
 
-WORD = r"[\p{L}\p{N}_]+"
+WORD_CHARACTER = r"[\p{L}\p{N}_]"
 
 
 def _may_hold(kind: str, text: Column) -> Column:
@@ -56,6 +56,6 @@ def redacted_secrets(message: Column, secrets: Iterable[str] = ()) -> Column:
     return F.regexp_replace(hidden, KEY_PATTERN, "key=[REDACTED]")
 
 
-def words(text: Column) -> Column:
-    """Distinct lower-cased word tokens."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+def whole_word(token: str) -> str:
+    """Pattern of a word token standing by itself."""
+    return rf"(?<!{WORD_CHARACTER}){token}(?!{WORD_CHARACTER})"

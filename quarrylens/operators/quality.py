@@ -174,75 +174,55 @@ def health_scores(details: DataFrame) -> DataFrame:
 def recommendations(details: DataFrame) -> DataFrame:
     """(table_name, seq, recommendation, business_impact), in reading order."""
 
-    def advice(rank: int, applies: Column, text: Column, impact: Column) -> Column:
+    def advice(rank: int, applies: str, text: str, amount: str, impact: str, subject: str) -> Column:
+        filled = F.format_string(text, subject, F.expr(f"CAST({amount} AS STRING)"))
+        reason = F.format_string(impact, subject) if "%s" in impact else F.lit(impact)
         return F.when(
-            applies,
+            F.expr(applies),
             F.struct(
-                (F.col("position") * 10 + rank).alias("seq"),
-                text.alias("recommendation"),
-                impact.alias("business_impact"),
+                F.expr(f"position * 10 + {rank}").alias("seq"),
+                filled.alias("recommendation"),
+                reason.alias("business_impact"),
             ),
         )
 
-    name = F.col("column_name")
-    per_column = details.where(F.col("row_count") > 0).withColumn(
-        "advice",
-        F.filter(
-            F.array(
-                advice(
-                    1,
-                    F.col("duplicates") > 0,
-                    F.format_string(DUPLICATE_TEXT, "table_name", F.col("duplicates").cast("string")),
-                    F.lit(DUPLICATE_IMPACT),
-                ),
-                advice(
-                    2,
-                    F.col("missing_percentage") > HIGH_MISSING,
-                    F.format_string(MISSING_TEXT, name, F.col("missing_percentage").cast("string")),
-                    F.format_string(MISSING_IMPACT, name),
-                ),
-                advice(
-                    3,
-                    F.col("invalid_formats") > 0,
-                    F.format_string(FORMAT_TEXT, name, F.col("invalid_formats").cast("string")),
-                    F.format_string(FORMAT_IMPACT, name),
-                ),
-                advice(
-                    4,
-                    F.col("outliers") > MANY_OUTLIERS,
-                    F.format_string(OUTLIER_TEXT, name, F.col("outliers").cast("string")),
-                    F.format_string(OUTLIER_IMPACT, name),
-                ),
+    per_column = F.array_compact(
+        F.array(
+            advice(1, "duplicates > 0", DUPLICATE_TEXT, "duplicates", DUPLICATE_IMPACT, "table_name"),
+            advice(
+                2,
+                f"missing_percentage > {HIGH_MISSING}",
+                MISSING_TEXT,
+                "missing_percentage",
+                MISSING_IMPACT,
+                "column_name",
             ),
-            lambda a: a.isNotNull(),
-        ),
-    )
-    found = per_column.select("table_name", F.inline("advice"))
-    quiet = (
-        details.groupBy("table_name")
-        .agg(
-            F.max("row_count").alias("row_count"),
-            F.sum(
-                F.when(
-                    (F.col("duplicates") > 0)
-                    | (F.col("missing_percentage") > HIGH_MISSING)
-                    | (F.col("invalid_formats") > 0)
-                    | (F.col("outliers") > MANY_OUTLIERS),
-                    1,
-                ).otherwise(0)
-            ).alias("issues"),
+            advice(3, "invalid_formats > 0", FORMAT_TEXT, "invalid_formats", FORMAT_IMPACT, "column_name"),
+            advice(4, f"outliers > {MANY_OUTLIERS}", OUTLIER_TEXT, "outliers", OUTLIER_IMPACT, "column_name"),
         )
-        .where((F.col("issues") == 0) | (F.col("row_count") == 0))
-        .select(
-            "table_name",
-            F.lit(0).alias("seq"),
-            F.when(F.col("row_count") == 0, EMPTY_TABLE_TEXT)
-            .otherwise(NO_ISSUE_TEXT)
-            .alias("recommendation"),
-            F.when(F.col("row_count") > 0, NO_ISSUE_IMPACT).alias("business_impact"),
+    )
+    # At most four entries per column of a table.
+    per_table = (
+        details.select("table_name", "row_count", per_column.alias("advice"))
+        .groupBy("table_name")
+        .agg(F.max("row_count").alias("row_count"), F.flatten(F.collect_list("advice")).alias("advice"))
+    )
+
+    def single(text: str, impact: Column) -> Column:
+        return F.array(
+            F.struct(
+                F.lit(0).alias("seq"),
+                F.lit(text).alias("recommendation"),
+                impact.alias("business_impact"),
+            )
         )
+
+    shown = (
+        F.when(F.col("row_count") == 0, single(EMPTY_TABLE_TEXT, F.lit(None).cast("string")))
+        .when(F.size("advice") == 0, single(NO_ISSUE_TEXT, F.lit(NO_ISSUE_IMPACT)))
+        .otherwise(F.col("advice"))
     )
-    return found.unionByName(quiet)
+    return per_table.select("table_name", F.inline(shown))
 
 
 def orphan_records(
@@ -294,7 +274,8 @@ def orphan_records(
     )
     rank = F.row_number().over(W.partitionBy("rel").orderBy(*values.SLOTS))
     first = (
-        keys.where(lost)
+        # Same columns as the totals above, so that both share one shuffle.
+        keys.where(lost & (F.col("child_rows") > 0))
         .select("rel", *values.SLOTS, rank.alias("rank"))
         .where(F.col("rank") <= samples)
         .groupBy("rel")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quarrylens.functions import masking, text as text_rules
+from quarrylens.functions import masking, text as text_rules, values
 from quarrylens.operators.profile import union_all
 
 SUBSTRING_BOOST = 0.2
@@ -113,30 +112,28 @@ def token_search(
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"at most {MAX_QUERIES} queries per call")
     scoped = documents if where is None else documents.where(where)
-    prepared = scoped.select(
-        quoted_key(key),
-        *keep,
-        text_rules.words(F.col(text)).alias("__words"),
-        F.lower(text).alias("__lower"),
-    )
+    prepared = scoped.select(quoted_key(key), *keep, F.lower(text).alias("__lower"))
     scores = []
     for number, query in enumerate(queries):
         tokens = query_words(query)
         if not tokens:
             continue
-        literal = F.array(*[F.lit(t) for t in tokens])
-        found = F.size(F.array_intersect(literal, F.col("__words")))
-        inside = sum((F.contains("__lower", F.lit(t)).cast("int") for t in tokens), F.lit(0))
+        inside = [f"contains(__lower, {values.literal(t)})" for t in tokens]
+        # A token of the document is an occurrence with no word character on
+        # either side; the plain substring test spares most texts the pattern.
+        found = [
+            f"CAST({c} AND __lower RLIKE {values.literal(text_rules.whole_word(t))} AS INT)"
+            for c, t in zip(inside, tokens)
+        ]
+        boost = " + ".join(f"CAST({c} AS INT)" for c in inside)
         scores.append(
-            F.struct(
-                F.lit(number).alias("query_id"),
-                (found / F.lit(len(tokens)) + SUBSTRING_BOOST * inside).alias("score"),
-            )
+            f"struct({number} AS query_id, ({' + '.join(found)}) / {len(tokens)} "
+            f"+ {SUBSTRING_BOOST}D * ({boost}) AS score)"
         )
     if not scores:
-        scores = [F.struct(F.lit(0).alias("query_id"), F.lit(0.0).alias("score"))]
+        scores = ["struct(0 AS query_id, 0D AS score)"]
         prepared = prepared.where(F.lit(False))
-    hits = prepared.select(key, *keep, F.inline(F.array(*scores)))
+    hits = prepared.select(key, *keep, F.expr(f"inline(array({', '.join(scores)}))"))
     return _ranked(hits, F.col("score").desc(), [key], k).withColumn(
         "distance", F.round(1.0 - F.col("score"), 3)
     )

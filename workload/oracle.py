@@ -635,9 +635,10 @@ def build() -> dict[str, str]:
             + facts({v: v for v in ("dirty_events", "orders", "part", "conversations")})
             + ") f LEFT JOIN (" + samples({v: v for v in ("dirty_events", "orders", "part", "conversations")}) + ") s USING (column_id)"
         ),
-        "glossary_backfill": f"""SELECT 'ORDERSTATUS' AS term, 'kept definition' AS definition, 'kept meaning' AS business_meaning,
-              'kept usage' AS business_usage, max(o_orderstatus) AS example_val FROM orders
-            UNION ALL SELECT * FROM ({terms(catalog_columns('shop', with_samples=True))}) WHERE term <> 'ORDERSTATUS'""",
+        "glossary_backfill": f"""WITH every AS MATERIALIZED ({catalog_columns(with_samples=True)}),
+              known AS (SELECT term, 'kept definition' AS definition, 'kept meaning' AS business_meaning, 'kept usage' AS business_usage, example_val
+                FROM ({terms("SELECT * FROM every WHERE table_name = 'orders'")}))
+            SELECT * FROM known UNION ALL SELECT * FROM ({terms('SELECT * FROM every', 'dataset, column_id')}) WHERE term NOT IN (SELECT term FROM known)""",
         "build_documents": shop_documents,
         "rebuild_documents": documents("corpus", every_term),
         "token_search": f"SELECT query_id, rank, doc_id, round(score, 6) AS score, distance FROM ({token_hits('SELECT * FROM documents', 'doc_id', Q.SEARCH_QUERIES, 5)})",

@@ -736,16 +736,17 @@ def glossary_terms(spark, sf_dir):
 
 @query("glossary_backfill")
 def glossary_backfill(spark, sf_dir):
-    """Terms of stored columns added to a glossary that already knows one of them."""
-    known = V.view(spark, sf_dir, "orders").groupBy(F.lit("ORDERSTATUS").alias("term")).agg(
-        F.lit("kept definition").alias("definition"),
-        F.lit("kept meaning").alias("business_meaning"),
-        F.lit("kept usage").alias("business_usage"),
-        F.max("o_orderstatus").alias("example_val"),
-    )
+    """Terms of all stored columns added to a glossary that already knows some of them."""
     (columns,) = _catalog(spark, sf_dir, "columns")
-    dated = columns.where("dataset = 'shop'")
-    return catalog.upsert_ignore(known, glossary.glossary_terms(dated), ["term"])
+    known = glossary.glossary_terms(columns.where("table_name = 'orders'")).withColumns(
+        {
+            "definition": F.lit("kept definition"),
+            "business_meaning": F.lit("kept meaning"),
+            "business_usage": F.lit("kept usage"),
+        }
+    )
+    placed = columns.withColumn("place", F.struct("dataset", "column_id"))
+    return catalog.upsert_ignore(known, glossary.glossary_terms(placed, "place"), ["term"])
 
 
 # --- documents and search --------------------------------------------------
