@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from quarrylens import session
 from quarrylens.functions import values
+from quarrylens.operators.profile import union_all
 
 QUARTILES = (0.25, 0.75)
 MIN_VALUES = 5
+ONE_AGGREGATE_BYTES = 4 * 1024 * 1024
 FENCE = 1.5
 # Rank error of the bracketing quantiles is n / ACCURACY; the bracket reaches
 # four times as far on either side, and is cut into BUCKETS by value.
@@ -35,14 +37,28 @@ def _number(field: T.StructField) -> str:
 
 
 def _direct(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """One row: `q`, an array with (n, q1, q3) per field."""
+    """One row: `q`, an array with (n, q1, q3) per field.
+
+    The aggregate is slow per value, so beyond a few megabytes every column
+    gets its own and they run side by side.
+    """
     fractions = "array(" + ", ".join(f"{q}D" for q in QUARTILES) + ")"
-    got = df.selectExpr(
-        *[f"count({_number(f)}) AS n{i}" for i, f in enumerate(fields)],
-        *[f"percentile({_number(f)}, {fractions}) AS p{i}" for i, f in enumerate(fields)],
-    )
-    items = [f"struct(n{i} AS n, p{i}[0] AS q1, p{i}[1] AS q3)" for i in range(len(fields))]
-    return got.selectExpr(f"array({', '.join(items)}) AS q")
+    if session.estimated_bytes(df) <= ONE_AGGREGATE_BYTES:
+        got = df.selectExpr(
+            *[f"count({_number(f)}) AS n{i}" for i, f in enumerate(fields)],
+            *[f"percentile({_number(f)}, {fractions}) AS p{i}" for i, f in enumerate(fields)],
+        )
+        items = [f"struct(n{i} AS n, p{i}[0] AS q1, p{i}[1] AS q3)" for i in range(len(fields))]
+        return got.selectExpr(f"array({', '.join(items)}) AS q")
+    parts = [
+        df.selectExpr(f"count({_number(f)}) AS n", f"percentile({_number(f)}, {fractions}) AS p")
+        .selectExpr(f"{i} AS i", "n", "p[0] AS q1", "p[1] AS q3")
+        for i, f in enumerate(fields)
+    ]
+    # One row per numeric column.
+    return union_all(parts).selectExpr(
+        "array_sort(collect_list(struct(i, n, q1, q3))) AS rows"
+    ).selectExpr("transform(rows, x -> struct(x.n AS n, x.q1 AS q1, x.q3 AS q3)) AS q")
 
 
 def _bracketed(df: DataFrame, fields: Sequence[T.StructField], accuracy: int) -> DataFrame:

@@ -8,7 +8,7 @@ from quarrylens.operators import quality, quartiles
 
 
 @pytest.mark.parametrize("accuracy", [50, 1000, 10_000])
-def test_bracketed_quartiles_are_exact(spark, accuracy):
+def test_bracketed_quartiles_are_exact(spark, monkeypatch, accuracy):
     """A third of the rows share one value; the rest are heavy-tailed or sparse."""
     rng = np.random.default_rng(7)
     n = 30_000
@@ -23,6 +23,8 @@ def test_bracketed_quartiles_are_exact(spark, accuracy):
         assert row["n"] == len(values)
         assert np.allclose([row["q1"], row["q3"]], np.quantile(values, [0.25, 0.75]), rtol=1e-12, atol=0)
     assert got == quartiles.quartiles(df, df.schema.fields, "direct").first()["q"]
+    monkeypatch.setattr(quartiles, "ONE_AGGREGATE_BYTES", 0)
+    assert got == quartiles.quartiles(df, df.schema.fields, "direct").first()["q"]
 
 
 def test_extreme_doubles(spark):
