@@ -1,9 +1,9 @@
 """Exact quartiles and the outlier fences built on them.
 
 Small inputs use the built-in exact aggregate, whose buffer holds every
-distinct value. Large ones must not: there, approximate quantiles with a
-known rank error bracket each wanted order statistic, one scan counts what
-lies below the bracket, and the values inside it are grouped, narrowed to the
+distinct value. Large ones must not: there, quantile sketches with a known
+rank error bracket each wanted order statistic, one scan counts what lies
+below the bracket, and the values inside it are grouped, narrowed to the
 one bucket that holds the rank, and only there put in order. Both ways give
 the same numbers.
 """
@@ -22,10 +22,17 @@ QUARTILES = (0.25, 0.75)
 MIN_VALUES = 5
 ONE_AGGREGATE_BYTES = 4 * 1024 * 1024
 FENCE = 1.5
-# Rank error of the bracketing quantiles is n / ACCURACY; the bracket reaches
-# four times as far on either side, and is cut into BUCKETS by value.
-ACCURACY = 10_000
+# Size of the bracketing sketches. A bracket reaches four times their published
+# rank error on either side and is cut into BUCKETS by value.
+SKETCH_SIZE = 4096
 BUCKETS = 1_000
+# Sketches of all tasks are merged in this many groups before the last merge.
+MERGE_GROUPS = 256
+
+
+def rank_error(sketch_size: int) -> float:
+    """Normalized rank error of a KLL sketch at 99 % confidence."""
+    return 2.296 / sketch_size**0.9021
 
 
 def numeric_fields(df: DataFrame) -> list[T.StructField]:
@@ -61,48 +68,83 @@ def _direct(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     ).selectExpr("transform(rows, x -> struct(x.n AS n, x.q1 AS q1, x.q3 AS q3)) AS q")
 
 
-def _bracketed(df: DataFrame, fields: Sequence[T.StructField], accuracy: int) -> DataFrame:
-    """The same row from three scans, none of which holds a column in memory."""
-    slack = 4.0 / accuracy
+def _bracketed(df: DataFrame, fields: Sequence[T.StructField], size: int) -> DataFrame:
+    """The same row from three scans, none of which holds a column in memory.
+
+    The first scan runs here and now: sketches are random, so their brackets
+    (four numbers per column) are fixed before anything is counted by them.
+    """
+    slack = 4.0 * rank_error(size)
     cuts = [min(max(q + d, 0.0), 1.0) for q in QUARTILES for d in (-slack, slack)]
     fractions = "array(" + ", ".join(f"{c!r}D" for c in cuts) + ")"
     numbers = df.selectExpr(*[f"{_number(f)} AS x{i}" for i, f in enumerate(fields)])
     # So few values that the slack is a few ranks: the bracket is the column.
     few = int(4 / slack)
-    whole = "array(min(x{0}), max(x{0}), min(x{0}), max(x{0}))"
-    brackets = numbers.selectExpr(
+    everywhere = range(len(fields))
+    # Two levels: one sketch per task would be too much for a single merge.
+    merged = (
+        numbers.selectExpr("*", f"spark_partition_id() % {MERGE_GROUPS} AS part")
+        .groupBy("part")
+        .agg(
+            *[
+                F.expr(e)
+                for i in everywhere
+                for e in (
+                    f"count(x{i}) AS n{i}",
+                    f"min(x{i}) AS lo{i}",
+                    f"max(x{i}) AS hi{i}",
+                    f"kll_sketch_agg_double(x{i}, {size}) AS s{i}",
+                )
+            ]
+        )
+        .selectExpr(
+            *[
+                e
+                for i in everywhere
+                for e in (
+                    f"sum(n{i}) AS n{i}",
+                    f"min(lo{i}) AS lo{i}",
+                    f"max(hi{i}) AS hi{i}",
+                    f"kll_merge_agg_double(s{i}, {size}) AS s{i}",
+                )
+            ]
+        )
+    )
+    brackets = merged.selectExpr(
         "array("
         + ", ".join(
-            f"CASE WHEN count(x{i}) < {few} THEN {whole.format(i)} "
-            f"ELSE percentile_approx(x{i}, {fractions}, {accuracy}) END"
-            for i in range(len(fields))
+            f"CASE WHEN coalesce(n{i}, 0) < {few} THEN array(lo{i}, hi{i}, lo{i}, hi{i}) "
+            f"ELSE kll_sketch_get_quantile_double(s{i}, {fractions}) END"
+            for i in everywhere
         )
         + ") AS b"
-    )
-    bounded = numbers.select("*", brackets.scalar().alias("b"))
+    ).first()["b"]
+    b = "array(" + ", ".join(
+        "array(" + ", ".join("CAST(NULL AS DOUBLE)" if v is None else f"CAST('{v!r}' AS DOUBLE)" for v in edges) + ")"
+        for edges in brackets
+    ) + ")"
 
-    below = bounded.selectExpr(
+    below = numbers.selectExpr(
         "array("
         + ", ".join(
-            f"struct(count(x{i}) AS n, count_if(x{i} < b[{i}][0]) AS below0, "
-            f"count_if(x{i} < b[{i}][2]) AS below1)"
+            f"struct(count(x{i}) AS n, count_if(x{i} < {b}[{i}][0]) AS below0, "
+            f"count_if(x{i} < {b}[{i}][2]) AS below1)"
             for i in range(len(fields))
         )
         + ") AS counts"
     )
     cells = ", ".join(f"{i}, x{i}" for i in range(len(fields)))
     values_inside = (
-        bounded.selectExpr("b", f"stack({len(fields)}, {cells}) AS (i, v)")
-        .where("(v >= b[i][0] AND v <= b[i][1]) OR (v >= b[i][2] AND v <= b[i][3])")
+        numbers.selectExpr(f"stack({len(fields)}, {cells}) AS (i, v)")
+        .where(f"(v >= {b}[i][0] AND v <= {b}[i][1]) OR (v >= {b}[i][2] AND v <= {b}[i][3])")
         .groupBy("i", "v")
         .agg(F.expr("count(1) AS copies"))
     )
     # Halved values keep the bucket arithmetic inside the range of a double.
     inside = (
-        values_inside.select("*", brackets.scalar().alias("b"))
-        .selectExpr(
-            "i", "v", "copies", "inline(array(struct(0 AS q, b[i][0] AS low, b[i][1] AS high), "
-            "struct(1 AS q, b[i][2] AS low, b[i][3] AS high)))",
+        values_inside.selectExpr(
+            "i", "v", "copies", f"inline(array(struct(0 AS q, {b}[i][0] AS low, {b}[i][1] AS high), "
+            f"struct(1 AS q, {b}[i][2] AS low, {b}[i][3] AS high)))",
         )
         .where("v >= low AND v <= high")
         .selectExpr(
@@ -159,8 +201,8 @@ def _bracketed(df: DataFrame, fields: Sequence[T.StructField], accuracy: int) ->
         .agg(F.expr("map_from_entries(collect_list(struct(slot, value))) AS m"))
     )
 
-    # The error bound keeps the rank inside the bracket; if it ever were not,
-    # fail instead of returning a wrong number.
+    # The bracket is far wider than the sketch's error; should a rank ever lie
+    # outside it, fail instead of returning a wrong number.
     def checked(i: int, q: int) -> str:
         value = f"try_element_at(m, {i * len(QUARTILES) + q})"
         return (
@@ -181,13 +223,13 @@ def quartiles(
     df: DataFrame,
     fields: Sequence[T.StructField],
     method: str = "auto",
-    accuracy: int = ACCURACY,
+    sketch_size: int = SKETCH_SIZE,
 ) -> DataFrame:
     """One row with an array of (n, q1, q3), one entry per field."""
     if method == "auto":
         small = session.is_small(df.select(*[values.quote(f.name) for f in fields]))
         method = "direct" if small else "bracketed"
-    return _direct(df, fields) if method == "direct" else _bracketed(df, fields, accuracy)
+    return _direct(df, fields) if method == "direct" else _bracketed(df, fields, sketch_size)
 
 
 def fences(quartile_row: DataFrame) -> DataFrame:
