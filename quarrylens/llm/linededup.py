@@ -133,7 +133,7 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """h1, h2, n_docs, last: line keys held by at least `min_docs` documents."""
     own = with_lines(docs, min_chars).select(
         F.coalesce(F.col("row.doc_id"), F.lit(NO_ID)).alias("doc_id"),
-        F.explode(F.array_distinct(F.arrays_zip("h1", "h2"))).alias("h"),
+        F.explode_outer(F.array_distinct(F.arrays_zip("h1", "h2"))).alias("h"),
     ).where("h.h1 <> 0")
     return (
         own.groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
