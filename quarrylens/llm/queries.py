@@ -66,10 +66,10 @@ QUERIES = {
 }
 
 _REACH = """
-both AS (SELECT a AS x, b AS y FROM link UNION SELECT b, a FROM link),
+ends AS (SELECT a AS x, b AS y FROM link UNION SELECT b, a FROM link),
 reach(x, y) AS (
-    SELECT x, y FROM both
-    UNION SELECT reach.x, both.y FROM reach JOIN both ON reach.y = both.x
+    SELECT x, y FROM ends
+    UNION SELECT reach.x, ends.y FROM reach JOIN ends ON reach.y = ends.x
 ), least AS (SELECT x, min(least(x, y)) AS component FROM reach GROUP BY x)"""
 
 _KEY = (
