@@ -41,3 +41,13 @@ def held_out(doc_id: Column) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The columns an operator reads; whatever else the table holds can't clash."""
     return df.select(*[df[n] for n in names])
+
+
+#: Ids that are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def those(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` (id and others) whose id is among `ids`, a written table of
+    distinct ids. A bounded one is broadcast, which leaves the texts in place."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")

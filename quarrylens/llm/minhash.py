@@ -10,14 +10,20 @@ estimates the similarity; pairs above the confidence bound are verified on the
 full sets.
 
 Equal sets are one class before anything is paired. Within a list, documents
-are first linked with the smallest id; only members that the verified links
-leave in different components are then paired with each other, so a tight group
-of n copies costs n comparisons and no link between components is missed.
+are first linked with the one that has the fewest values of its own (the least
+edited of a family of copies); only members that the verified links leave in
+different components are then paired with each other, so a tight group of n
+copies costs n comparisons. Of the documents in such open lists the shingles
+that no other of them has are counted on the full sets: o of n can't be shared,
+so a document with more than 1 - t of its own has no partner, and a pair must
+still reach t without what either has of its own. These bounds are exact, so no
+link between components is missed.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,24 +61,31 @@ def sketches(docs: DataFrame, n_words: int, k: int = SKETCH) -> DataFrame:
 
 
 def _lists(reps: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """(v, id, n): each class under those of its rarest retained values that
-    some other class retains too."""
+    """(v, id, n, u): each class under those of its rarest retained values that
+    some other class retains too; u of its values are its own."""
     held = reps.select("id", "n", "d1", F.explode("sketch").alias("v"))
     frequent = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = held.join(frequent, "v").groupBy("id", "n", "d1").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     kept = F.least(F.col("n"), F.lit(k)).cast("int")
     prefix = kept - _required(F.col("n"), num, den, k) + 1
     left = F.greatest(prefix - (kept - F.size("vs")), F.lit(0))
-    return shared.select("id", "n", F.explode(F.slice("vs", F.lit(1), left)).alias("e")).select("id", "n", F.col("e.v").alias("v"))
+    listed = shared.select("id", "n", (kept - F.size("vs")).alias("u"), F.explode(F.slice("vs", F.lit(1), left)).alias("e"))
+    return listed.select("id", "n", "u", F.col("e.v").alias("v"))
 
 
 def _sizes_fit(a: str, b: str, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, num: int, den: int, k: int) -> DataFrame:
+def _ids(pairs: DataFrame) -> DataFrame:
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
+    return session.cut_lineage(ids.distinct())
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, sets: Callable, num: int, den: int, k: int) -> DataFrame:
     """Pairs (a, b) whose union sketch lets them through and whose full sets agree."""
-    sk = reps.select("id", "sketch")
+    pairs = session.cut_lineage(pairs.select("a", "b").distinct())
+    sk = common.those(reps.select("id", "sketch"), _ids(pairs))
     p = (
         pairs.join(sk.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
         .join(sk.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
@@ -82,14 +95,40 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, num: int, den:
     whole = F.size("u") < k
     enough = F.when(whole, F.col("x") * den >= F.size("u") * num).otherwise(F.col("x") >= least_overlap(num / den, k))
     p = session.cut_lineage(p.where(enough).select("a", "b").distinct())
-    ids = p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
-    full = sets.join(ids, "id", "left_semi")
+    full = sets(_ids(p))
     q = (
         p.join(full.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
         .join(full.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
     )
     q = q.withColumn("x", F.size(F.array_intersect("ha", "hb")).cast("long"))
-    return q.where(F.col("x") * den >= (F.size("ha") + F.size("hb") - F.col("x")) * num).select("a", "b")
+    q = q.where(F.col("x") * den >= (F.size("ha") + F.size("hb") - F.col("x")) * num)
+    return session.cut_lineage(q.select("a", "b"))
+
+
+def _own_counts(full: DataFrame) -> DataFrame:
+    """id, o: shingles of each document that no other of them has. Documents
+    without any have no row; of several sets of one id the smallest count holds."""
+    held = full.select("id", F.xxhash64("h").alias("set"), F.explode_outer("h").alias("x"))
+    single = held.groupBy("x").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id"), F.min("set").alias("set")).where("df = 1")
+    own = single.groupBy("id", "set").agg(F.count(F.lit(1)).alias("o"))
+    return own.groupBy("id").agg(F.min("o").alias("o"))
+
+
+def _crossing(lists: DataFrame, labels: DataFrame, sets: Callable, num: int, den: int) -> DataFrame:
+    """Pairs of a list that lie in different components and may yet be linked."""
+    placed = lists.join(labels, lists["id"] == labels["node"], "left").select(
+        "v", "id", "n", F.coalesce("component", "id").alias("c")
+    )
+    open_lists = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
+    placed = session.cut_lineage(placed.join(open_lists, "v"))
+    own = session.cut_lineage(_own_counts(sets(session.cut_lineage(placed.select("id").distinct()))))
+    placed = placed.join(own, "id", "left").withColumn("o", F.coalesce("o", F.lit(0)))
+    placed = session.cut_lineage(placed.where((F.col("n") - F.col("o")) * den >= F.col("n") * num))
+    other = placed.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("o").alias("ob"), F.col("c").alias("cb"))
+    both = placed.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("o").alias("oa"), F.col("c").alias("ca")).join(other, "v")
+    most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+    union = F.col("na") + F.col("nb") - most
+    return both.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (most * den >= union * num))
 
 
 def near_duplicates(
@@ -111,40 +150,20 @@ def near_duplicates(
         .select("id", F.col("n_shingles").alias("n"), "d1", "d2", "sketch").dropDuplicates(["id", "d1", "d2"])
     )
     lists = session.cut_lineage(_lists(reps, num, den, k))
-    sets = (
-        common.only(docs, "doc_id", "text")
-        .select(F.col("doc_id").alias("id"), "text")
-    )
 
-    def with_sets(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        few = sets.join(ids, "id", "left_semi")
-        few = few.select("id", common.words(common.ascii_lower(F.col("text"))).alias("w"))
+    def sets(ids: DataFrame) -> DataFrame:
+        few = common.only(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
+        few = common.those(few, ids).select("id", common.words(common.ascii_lower(F.col("text"))).alias("w"))
         return few.select("id", F.array_distinct(common.shingle_hashes("w", n_words)).alias("h"))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        pairs = session.cut_lineage(pairs.select("a", "b").distinct())
-        return session.cut_lineage(_verified(pairs, reps, with_sets(pairs), num, den, k))
-
-    leaders = lists.groupBy("v").agg(F.min(F.struct("id", "n")).alias("m"))
+    leaders = lists.groupBy("v").agg(F.min(F.struct("u", "id", "n")).alias("m"))
     stars = (
         lists.join(leaders, "v").select(F.col("m.id").alias("a"), F.col("m.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
         .where("a <> b").where(_sizes_fit("na", "nb", num, den))
     )
-    links = confirm(stars)
-    labels = connected_components(links)
-    placed = lists.join(labels, lists["id"] == labels["node"], "left").select(
-        "v", "id", "n", F.coalesce("component", "id").alias("c")
-    )
-    open_lists = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
-    placed = session.cut_lineage(placed.join(open_lists, "v"))
-    other = placed.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    crossing = (
-        placed.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        .join(other, "v")
-        .where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit("na", "nb", num, den))
-    )
-    links = links.union(confirm(crossing))
+    links = _verified(stars, reps, sets, num, den, k)
+    crossing = _crossing(lists, connected_components(links), sets, num, den)
+    links = links.union(_verified(crossing, reps, sets, num, den, k))
     labels = connected_components(links)
     member = table.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
     member = member.withColumn("id", F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id")))
