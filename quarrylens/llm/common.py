@@ -43,11 +43,17 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n] for n in names])
 
 
-#: Ids that are broadcast (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Rows of ids and the like that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_bounded(written: DataFrame) -> DataFrame:
+    """A written table, marked for a broadcast if it is of bounded size, which
+    leaves the texts it is joined to in place."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
 def those(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of `docs` (id and others) whose id is among `ids`, a written table of
-    distinct ids. A bounded one is broadcast, which leaves the texts in place."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    distinct ids."""
+    return docs.join(if_bounded(ids), "id", "left_semi")

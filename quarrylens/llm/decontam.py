@@ -61,7 +61,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int =
     items = windows.hashed(common.only(benchmark, "item_id", "text"), "item_id").distinct()
     items = session.cut_lineage(items.withColumn("m", F.size("h")).withColumn("fp", simhash("h"))).where("m > 0")
     shingles = session.cut_lineage(windows.reference_shingles(items, "item_id"))
-    hits = windows.positions(docs).join(windows.if_bounded(shingles, shingles.count()), "x")
+    hits = windows.positions(docs).join(common.if_bounded(shingles), "x")
     # similarity >= num/den needs 2 num / (num + den) of the item's shingles
     enough = F.col("n") * (num + den) >= F.col("m") * (2 * num)
     near = hits.groupBy("doc_id", "key", "item_id", "m").agg(
@@ -83,5 +83,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of `docs` that hold no passage of the benchmark, columns unchanged."""
-    bad = contaminated(docs, benchmark, num, den).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = session.cut_lineage(contaminated(docs, benchmark, num, den).select("doc_id").distinct())
+    return docs.join(common.if_bounded(bad), docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")

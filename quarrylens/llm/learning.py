@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens import session
+from quarrylens.llm import common
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Distinct words that a worker keeps; beyond it starts anew (speed only).
 CACHE_WORDS = 200_000
@@ -25,7 +28,7 @@ def letter_words(text: str) -> list[str]:
 def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int = 7) -> DataFrame:
     """About `per_label` rows of each label (all, where there are fewer), chosen
     by a hash of doc_id."""
-    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
+    counts = common.if_bounded(session.cut_lineage(rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))))
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.join(counts, label).where(u * F.col("n_label") < per_label).drop("n_label")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylens import session
-from quarrylens.llm import windows
+from quarrylens.llm import common, windows
 
 BANDS = 64
 LEAST_WINDOW = 8
@@ -93,7 +93,7 @@ def licenses(docs: DataFrame, templates: DataFrame | None = None, num: int = 4,
     t = t.withColumn("m", F.greatest(F.lit(LEAST_WINDOW), F.expr("cast(1 AS int)") * F.pow(F.lit(2), doubled)).cast("int"))
     t = session.cut_lineage(t.withColumn("bands", _bands("h"))).where("size > 0")
     anchors = session.cut_lineage(t.select("m", F.explode("h").alias("x")).distinct())
-    hits = windows.positions(docs).join(windows.if_bounded(anchors, anchors.count()), "x")
+    hits = windows.positions(docs).join(common.if_bounded(anchors), "x")
     step = F.col("m") / 2
     at = F.floor(F.col("pos") / step)
     spans = hits.select("doc_id", "key", "m", F.explode(F.array(at, F.greatest(at - 1, F.lit(0)))).alias("no"))

@@ -9,15 +9,15 @@ shares is frequent and thus falls out of the prefixes. The sketch of the union
 estimates the similarity; pairs above the confidence bound are verified on the
 full sets.
 
-Equal sets are one class before anything is paired. Within a list, documents
-are first linked with the one that has the fewest values of its own (the least
-edited of a family of copies); only members that the verified links leave in
-different components are then paired with each other, so a tight group of n
-copies costs n comparisons. Of the documents in such open lists the shingles
-that no other of them has are counted on the full sets: o of n can't be shared,
-so a document with more than 1 - t of its own has no partner, and a pair must
-still reach t without what either has of its own. These bounds are exact, so no
-link between components is missed.
+Equal sets are one class before anything is paired. The listed documents' full
+sets get the same prefix rule exactly: with its shingles in order of frequency, a
+document of n meets its partners among the first n - t n + 1, and a pair that
+first meets where a and b have oa and ob rarer ones shares none of these. Within
+a list, documents are first linked with the one that has the fewest rarer
+shingles (the original of a family of edited copies); only members that the
+verified links leave in different components are then paired with each other,
+under the same exact bound. So a tight group of n copies costs n comparisons and
+no link between components is missed.
 """
 
 from __future__ import annotations
@@ -61,20 +61,16 @@ def sketches(docs: DataFrame, n_words: int, k: int = SKETCH) -> DataFrame:
 
 
 def _lists(reps: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """(v, id, n, u): each class under those of its rarest retained values that
-    some other class retains too; u of its values are its own."""
+    """(v, id, n): each class under those of its rarest retained values that
+    some other class retains too."""
     held = reps.select("id", "n", "d1", F.explode("sketch").alias("v"))
     frequent = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = held.join(frequent, "v").groupBy("id", "n", "d1").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     kept = F.least(F.col("n"), F.lit(k)).cast("int")
     prefix = kept - _required(F.col("n"), num, den, k) + 1
     left = F.greatest(prefix - (kept - F.size("vs")), F.lit(0))
-    listed = shared.select("id", "n", (kept - F.size("vs")).alias("u"), F.explode(F.slice("vs", F.lit(1), left)).alias("e"))
-    return listed.select("id", "n", "u", F.col("e.v").alias("v"))
-
-
-def _sizes_fit(a: str, b: str, num: int, den: int) -> Column:
-    return F.least(a, b) * den >= F.greatest(a, b) * num
+    listed = shared.select("id", "n", F.explode(F.slice("vs", F.lit(1), left)).alias("e"))
+    return listed.select("id", "n", F.col("e.v").alias("v"))
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -105,30 +101,44 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: Callable, num: int, den:
     return session.cut_lineage(q.select("a", "b"))
 
 
-def _own_counts(full: DataFrame) -> DataFrame:
-    """id, o: shingles of each document that no other of them has. Documents
-    without any have no row; of several sets of one id the smallest count holds."""
-    held = full.select("id", F.xxhash64("h").alias("set"), F.explode_outer("h").alias("x"))
-    single = held.groupBy("x").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("id"), F.min("set").alias("set")).where("df = 1")
-    own = single.groupBy("id", "set").agg(F.count(F.lit(1)).alias("o"))
-    return own.groupBy("id").agg(F.min("o").alias("o"))
+def _prefixes(full: DataFrame, num: int, den: int) -> DataFrame:
+    """(v, id, n, o): each document of `full` under those of its rarest shingles
+    that some other of them has too; o of its n shingles are rarer than v."""
+    held = full.select("id", F.xxhash64("h").alias("set"), F.size("h").alias("n"), F.explode_outer("h").alias("v"))
+    frequent = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = held.join(frequent, "v").groupBy("id", "set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    own = F.col("n") - F.size("vs")
+    left = F.greatest(F.col("n") - F.ceil(F.col("n") * num / den) + 1 - own, F.lit(0)).cast("int")
+    e = shared.select("id", "n", own.alias("own"), F.posexplode(F.slice("vs", F.lit(1), left)).alias("at", "e"))
+    return e.select(F.col("e.v").alias("v"), "id", "n", (F.col("own") + F.col("at")).alias("o"))
+
+
+def _may_link(num: int, den: int) -> Column:
+    """Whether a (na, oa) and b (nb, ob) can reach num / den without their rarer shingles."""
+    most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
+    return most * den >= (F.col("na") + F.col("nb") - most) * num
+
+
+def _named(lists: DataFrame, end: str) -> list[Column]:
+    return [F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("o").alias(f"o{end}")]
+
 
+def _stars(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Each member of a list with the one that has the fewest rarer shingles."""
+    leaders = lists.groupBy("v").agg(F.min(F.struct("o", "id", "n")).alias("m")).select("v", "m.*")
+    pairs = lists.select("v", *_named(lists, "b")).join(leaders.select("v", *_named(leaders, "a")), "v")
+    return pairs.where("a <> b").where(_may_link(num, den))
 
-def _crossing(lists: DataFrame, labels: DataFrame, sets: Callable, num: int, den: int) -> DataFrame:
+
+def _crossing(lists: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a list that lie in different components and may yet be linked."""
-    placed = lists.join(labels, lists["id"] == labels["node"], "left").select(
-        "v", "id", "n", F.coalesce("component", "id").alias("c")
-    )
+    placed = lists.join(labels, lists["id"] == labels["node"], "left").withColumn("c", F.coalesce("component", "id"))
     open_lists = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
-    placed = session.cut_lineage(placed.join(open_lists, "v"))
-    own = session.cut_lineage(_own_counts(sets(session.cut_lineage(placed.select("id").distinct()))))
-    placed = placed.join(own, "id", "left").withColumn("o", F.coalesce("o", F.lit(0)))
-    placed = session.cut_lineage(placed.where((F.col("n") - F.col("o")) * den >= F.col("n") * num))
-    other = placed.select("v", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("o").alias("ob"), F.col("c").alias("cb"))
-    both = placed.select("v", F.col("id").alias("a"), F.col("n").alias("na"), F.col("o").alias("oa"), F.col("c").alias("ca")).join(other, "v")
-    most = F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))
-    union = F.col("na") + F.col("nb") - most
-    return both.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (most * den >= union * num))
+    placed = session.cut_lineage(placed.join(open_lists, "v").select("v", "id", "n", "o", "c"))
+    both = placed.select("v", *_named(placed, "a"), F.col("c").alias("ca")).join(
+        placed.select("v", *_named(placed, "b"), F.col("c").alias("cb")), "v"
+    )
+    return both.where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(num, den))
 
 
 def near_duplicates(
@@ -149,20 +159,16 @@ def near_duplicates(
         filled.join(classes, ["d1", "d2"]).where("doc_id = id")
         .select("id", F.col("n_shingles").alias("n"), "d1", "d2", "sketch").dropDuplicates(["id", "d1", "d2"])
     )
-    lists = session.cut_lineage(_lists(reps, num, den, k))
+    lists = _lists(reps, num, den, k)
 
     def sets(ids: DataFrame) -> DataFrame:
         few = common.only(docs, "doc_id", "text").select(F.col("doc_id").alias("id"), "text")
         few = common.those(few, ids).select("id", common.words(common.ascii_lower(F.col("text"))).alias("w"))
         return few.select("id", F.array_distinct(common.shingle_hashes("w", n_words)).alias("h"))
 
-    leaders = lists.groupBy("v").agg(F.min(F.struct("u", "id", "n")).alias("m"))
-    stars = (
-        lists.join(leaders, "v").select(F.col("m.id").alias("a"), F.col("m.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"))
-        .where("a <> b").where(_sizes_fit("na", "nb", num, den))
-    )
-    links = _verified(stars, reps, sets, num, den, k)
-    crossing = _crossing(lists, connected_components(links), sets, num, den)
+    lists = session.cut_lineage(_prefixes(sets(session.cut_lineage(lists.select("id").distinct())), num, den))
+    links = _verified(_stars(lists, num, den), reps, sets, num, den, k)
+    crossing = _crossing(lists, connected_components(links), num, den)
     links = links.union(_verified(crossing, reps, sets, num, den, k))
     labels = connected_components(links)
     member = table.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")

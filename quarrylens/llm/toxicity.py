@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens import session
 from quarrylens.llm import common, learning
 
 DOCS_PER_LABEL = 1500
@@ -293,7 +294,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS_PER_LABEL) -
     y = labels.select(labels["doc_id"], labels["toxic"]).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     d = common.only(docs, "doc_id", "text").where(~common.held_out(F.col("doc_id")) & F.col("text").isNotNull())
     ids = learning.bounded_sample(d.select("doc_id").join(y, "doc_id"), "toxic", per_label)
-    return learning.fit(d.join(ids.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "text", "toxic"), learn)
+    ids = common.if_bounded(session.cut_lineage(ids.dropDuplicates(["doc_id"])))
+    return learning.fit(d.join(ids, "doc_id").select("doc_id", "text", "toxic"), learn)
 
 
 def score_toxicity(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:

@@ -10,12 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrylens import session
 from quarrylens.llm import common
 
 SHINGLE = 5
-#: Rows of the reference's shingle table that are broadcast (20 bytes each);
-#: a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def plain_words(text: Column) -> Column:
@@ -39,10 +37,6 @@ def reference_shingles(reference: DataFrame, *keys: str) -> DataFrame:
     return reference.select(*keys, F.size("h").alias("m"), F.posexplode("h").alias("at", "x"))
 
 
-def if_bounded(table: DataFrame, n_rows: int) -> DataFrame:
-    return F.broadcast(table) if n_rows <= BROADCAST_ROWS else table
-
-
 def positions(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), pos, x: one row per word position."""
     d = common.only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), "text")
@@ -52,7 +46,9 @@ def positions(docs: DataFrame) -> DataFrame:
 def cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The shingles of given windows: spans has doc_id, key, s (first shingle)
     and m; the result adds h. Only documents with a window are hashed again."""
-    by_doc = spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "m")).alias("spans"))
+    by_doc = common.if_bounded(
+        session.cut_lineage(spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("s", "m")).alias("spans")))
+    )
     d = common.only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), "text")
     d = d.join(by_doc, (d["doc_id"].eqNullSafe(by_doc["doc_id"])) & (d["key"] == by_doc["key"])).select(
         d["doc_id"], d["key"], "text", "spans"
