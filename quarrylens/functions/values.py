@@ -96,10 +96,26 @@ def equality_key(name: str, dtype: T.DataType) -> str:
     if isinstance(dtype, T.BinaryType):
         return _digested(f"base64({column})")
     if isinstance(dtype, COMPLEX):
-        return _digested(f"to_json({column})")
+        return _digested(f"to_json({_canonical(column, dtype)})")
     return column
 
 
+def _canonical(value: str, dtype: T.DataType, depth: int = 0) -> str:
+    """Equal nested values in one form: map entries sorted, no negative zeros."""
+    x = f"x{depth}"
+    if isinstance(dtype, FRACTIONAL):
+        return f"({value} + CAST(0 AS {dtype.simpleString()}))"
+    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, COMPLEX + FRACTIONAL):
+        return f"transform({value}, {x} -> {_canonical(x, dtype.elementType, depth + 1)})"
+    if isinstance(dtype, T.MapType):
+        pair = f"struct({_canonical(f'{x}.key', dtype.keyType, depth + 1)} AS k, {_canonical(f'{x}.value', dtype.valueType, depth + 1)} AS v)"
+        return f"array_sort(transform(map_entries({value}), {x} -> {pair}))"
+    if isinstance(dtype, T.StructType) and dtype.fields:
+        parts = ", ".join(f"{literal(f.name)}, {_canonical(f'{value}.{quote(f.name)}', f.dataType, depth)}" for f in dtype.fields)
+        return f"CASE WHEN {value} IS NOT NULL THEN named_struct({parts}) END"
+    return value
+
+
 def slot_values(name: str, dtype: T.DataType, whole_text: bool = False) -> list[str]:
     """The value of a column spread over the slots; exactly one slot is used.
 
@@ -130,7 +146,7 @@ def parses_as_date(text: str) -> str:
     """True if the text reads as a date in one of the fixed layouts."""
     attempts = ", ".join(f"try_to_timestamp(trim({text}), {literal(f)})" for f in DATE_LAYOUTS)
     return (
-        f"CASE WHEN length({text}) <= 40 AND trim({text}) RLIKE r'{PLAUSIBLE_DATE}' "
+        f"CASE WHEN trim({text}) RLIKE r'{PLAUSIBLE_DATE}' "
         f"THEN coalesce({attempts}) IS NOT NULL ELSE {text} IS NULL END"
     )
 

@@ -54,12 +54,23 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame
     )
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows as they are; the job fails if a key has more than one."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    grouped = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(
+        F.first(row).alias("r"), F.count(F.lit(1)).alias("n")
+    )
+    message = F.lit(f"several rows of one key ({', '.join(keys)}): an order must settle which is the last")
+    checked = F.when(F.col("n") == 1, F.col("r")).otherwise(F.raise_error(message).cast(grouped.schema["r"].dataType))
+    return grouped.select(checked.alias("r")).select("r.*")
+
+
 def upsert_replace(
     existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Column | None = None
 ) -> DataFrame:
     """New rows replace existing ones of the same key. `order` settles which of
-    several new rows of one key is the last."""
-    incoming = new if order is None else last_per_key(new, keys, order)
+    several new rows of one key is the last; without one they are refused."""
+    incoming = one_per_key(new, keys) if order is None else last_per_key(new, keys, order)
     kept = existing.join(incoming.select(*keys), list(keys), "left_anti")
     return kept.unionByName(incoming.select(*existing.columns))
 
@@ -67,8 +78,8 @@ def upsert_replace(
 def upsert_ignore(
     existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Column | None = None
 ) -> DataFrame:
-    """Existing rows stay; only rows with unseen keys are added."""
-    incoming = new if order is None else last_per_key(new, keys, order)
+    """Existing rows stay; only rows with unseen keys are added, one per key."""
+    incoming = one_per_key(new, keys) if order is None else last_per_key(new, keys, order)
     added = incoming.join(existing.select(*keys), list(keys), "left_anti")
     return existing.unionByName(added.select(*existing.columns))
 
@@ -125,15 +136,24 @@ class CatalogStore:
         names = kept.columns
         self._write_next(table, kept.unionByName(new.select(*names)))
 
-    def append(self, table: str, rows: DataFrame) -> None:
+    def shaped(self, table: str, rows: DataFrame) -> DataFrame:
         fields = self.spark.createDataFrame([], SCHEMAS[table]).schema
-        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.mode(
-            "append"
-        ).parquet(f"{self.root}/{table}/log")
+        return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        self.shaped(table, rows).write.mode("append").parquet(f"{self.root}/{table}/log/batch")
+
+    def append_batch(self, table: str, rows: DataFrame, stream: str, batch_id: int) -> None:
+        """One micro-batch of a stream in a folder of its own: writing it again,
+        after a restart, replaces it."""
+        path = f"{self.root}/{table}/log/stream/{stream}/{batch_id}"
+        self.shaped(table, rows).write.mode("overwrite").parquet(path)
 
     def read_log(self, table: str) -> DataFrame:
+        """All rows of a log, from batch and streaming appends."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/log")
         fs = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         if not fs.exists(path):
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/log")
+        reader = self.spark.read.schema(SCHEMAS[table]).option("recursiveFileLookup", True)
+        return reader.parquet(f"{self.root}/{table}/log")
