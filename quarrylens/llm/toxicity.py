@@ -34,6 +34,8 @@ HIDDEN, INPUT = 8, 12
 GRAMS = 1 << 14
 VOCABULARY = 30_000
 EPOCHS = 5
+#: Steps that a small sample is trained for at least; more epochs then.
+LEAST_STEPS = 300
 GROUP_WORDS = 60_000
 
 
@@ -199,7 +201,7 @@ def learn(pdf: pd.DataFrame, seed: int = 5) -> dict[str, np.ndarray]:
     share = float(np.clip(toxic.mean(), 0.01, 0.99)) if len(toxic) else 0.5
     p["c"][:] = np.log(share / (1 - share))
     best = np.ones(len(windows), bool)
-    for epoch in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // max(1, len(windows) // 256)))):
         odds = np.zeros(len(windows))
         use = np.flatnonzero(best | (toxic[owner] == 0)) if len(windows) else np.zeros(0, np.int64)
         for at in np.array_split(rng.permutation(use), max(1, len(use) // 256)) if len(use) else []:
