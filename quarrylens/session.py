@@ -32,10 +32,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where none is configured (tests, notebooks) is a local one made.
+    Only a local master, as in tests, gets one made; a cluster without one is refused,
+    since each executor would write to its own disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quarrylens-")
         spark.sparkContext.setCheckpointDir(root)
     return root
