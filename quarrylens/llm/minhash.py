@@ -104,7 +104,9 @@ def _verified(pairs: DataFrame, reps: DataFrame, sets: Callable, num: int, den:
 def _prefixes(full: DataFrame, num: int, den: int) -> DataFrame:
     """(v, id, n, o): each document of `full` under those of its rarest shingles
     that some other of them has too; o of its n shingles are rarer than v."""
-    held = full.select("id", F.xxhash64("h").alias("set"), F.size("h").alias("n"), F.explode_outer("h").alias("v"))
+    # beside explode these would be computed anew for each of its rows
+    held = full.select("id", F.xxhash64("h").alias("set"), F.size("h").alias("n"), "h")
+    held = held.select("id", "set", "n", F.explode_outer("h").alias("v"))
     frequent = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = held.join(frequent, "v").groupBy("id", "set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     own = F.col("n") - F.size("vs")
