@@ -136,42 +136,20 @@ def _first_values(df: DataFrame, column: str, keys: Sequence[str], size: int) ->
 
 
 def date_like_columns(
-    tables: Tables, order_by: OrderKeys | None = None, sample: int = 100
+    tables: Tables, order_by: OrderKeys, sample: int
 ) -> DataFrame:
-    """(column_id, date_like) for string columns: do the first values all read as dates?
-
-    With an order, the first values are a top-k per column. Without one, the
-    scan is read from its start until enough values are seen, usually in one
-    task, and only flags come back.
-    """
-    ordered, flags = [], []
+    """(column_id, date_like) for string columns: do the first values in the
+    given order, a top-k per column, all read as dates?"""
+    ordered = []
     for table, columns in columns_by_table(tables).items():
-        texts = [(i, f) for i, _, f in columns if isinstance(f.dataType, T.StringType)]
-        if not texts:
-            continue
-        df, keys = tables[table], (order_by or {}).get(table, ())
-        parses = {i: values.parses_as_date(values.quote(f.name)) for i, f in texts}
-        if keys:
-            for i, f in texts:
-                first = _first_values(df, values.quote(f.name), keys, sample)
-                ordered.append(first.selectExpr(f"{i} AS column_id", f"{parses[i]} AS parses"))
-            continue
-        together = df.selectExpr(
-            *[f"CASE WHEN {values.quote(f.name)} IS NOT NULL THEN {parses[i]} END" for i, f in texts]
-        ).limit(sample).collect()
-        for place, (i, f) in enumerate(texts):
-            seen = [row[place] for row in together if row[place] is not None]
-            if len(seen) < len(together):
-                # Nulls among the first rows: read on until there are enough values.
-                column = values.quote(f.name)
-                rest = df.where(f"{column} IS NOT NULL").selectExpr(parses[i]).limit(sample)
-                seen = [row[0] for row in rest.collect()]
-            flags.append((i, bool(seen) and all(seen)))
-    session = next(iter(tables.values())).sparkSession
-    found = session.createDataFrame(flags, "column_id int, parses boolean")
-    return (
-        union_all([found, *ordered]).groupBy("column_id").agg(F.bool_and("parses").alias("date_like"))
-    )
+        for i, f in ((i, f) for i, _, f in columns if isinstance(f.dataType, T.StringType)):
+            column = values.quote(f.name)
+            first = _first_values(tables[table], column, order_by[table], sample)
+            ordered.append(first.selectExpr(f"{i} AS column_id", f"{values.parses_as_date(column)} AS parses"))
+    if not ordered:
+        session = next(iter(tables.values())).sparkSession
+        return session.createDataFrame([], "column_id int, date_like boolean")
+    return union_all(ordered).groupBy("column_id").agg(F.bool_and("parses").alias("date_like"))
 
 
 def _merge(facts: DataFrame, *extras: DataFrame | None) -> DataFrame:
@@ -212,13 +190,15 @@ def profile_columns(
     approximate: bool = False,
     rsd: float = 0.05,
     order_by: OrderKeys | None = None,
-    type_sample: int | None = 100,
+    type_sample: int | None = None,
 ) -> DataFrame:
     """The profile of every column of every table, one row per column.
 
-    String columns are typed by their first `type_sample` values, in the order
-    of `order_by` if given, or with None by all their values.
+    String columns are typed by all their values, in the one pass of the other
+    facts; or, where asked for, by the first `type_sample` in the order of `order_by`.
     """
+    if type_sample is not None and not set(tables) <= set(order_by or {}):
+        raise ValueError("a type sample needs an order for each table")
     return _merge(
         column_facts(tables, rsd if approximate else None, dates=type_sample is None),
         None if approximate else distinct_counts(tables),
@@ -226,9 +206,9 @@ def profile_columns(
     ).selectExpr(*PROFILE_COLUMNS)
 
 
-def profile_types(tables: Tables, order_by: OrderKeys | None = None) -> DataFrame:
-    """Logical and storage type per column, with the filled cells behind the verdict."""
-    whole = _merge(column_facts(tables, extremes=False), date_like_columns(tables, order_by))
+def profile_types(tables: Tables) -> DataFrame:
+    """Logical type per column by all its values, with the filled cells behind the verdict."""
+    whole = column_facts(tables, extremes=False, dates=True)
     return whole.selectExpr(
         "table_name",
         "column_name",

@@ -11,7 +11,9 @@ from quarrylens.functions import masking, text as text_rules, values
 from quarrylens.operators.profile import union_all
 
 SUBSTRING_BOOST = 0.2
-MAX_QUERIES = 1000
+# Queries that share a scan; more take further scans.
+TOKEN_BLOCK = 100
+VECTOR_BLOCK = 1000
 
 
 def build_documents(
@@ -103,18 +105,27 @@ def token_search(
     where: Column | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Best k documents per query by token overlap, in one scan for all queries.
+    """Best k documents per query by token overlap, in one scan for a block of queries.
 
     Score: share of the query's distinct tokens found among the document's
     tokens, plus 0.2 for every query token that occurs as a substring. A query
     without tokens finds nothing. `where` scopes the documents before ranking.
     """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries per call")
     scoped = documents if where is None else documents.where(where)
     prepared = scoped.select(quoted_key(key), *keep, F.lower(text).alias("__lower"))
+    blocks = [
+        _token_block(prepared, queries[at : at + TOKEN_BLOCK], at, key, k, keep)
+        for at in range(0, max(len(queries), 1), TOKEN_BLOCK)
+    ]
+    return union_all(blocks).withColumn("distance", F.round(1.0 - F.col("score"), 3))
+
+
+def _token_block(
+    prepared: DataFrame, queries: Sequence[str], first: int, key: str, k: int, keep: Sequence[str]
+) -> DataFrame:
+    """Best k documents of each query of one block, numbered from `first`."""
     scores = []
-    for number, query in enumerate(queries):
+    for number, query in enumerate(queries, first):
         tokens = query_words(query)
         if not tokens:
             continue
@@ -134,9 +145,7 @@ def token_search(
         scores = ["struct(0 AS query_id, 0D AS score)"]
         prepared = prepared.where(F.lit(False))
     hits = prepared.select(key, *keep, F.expr(f"inline(array({', '.join(scores)}))"))
-    return _ranked(hits, F.col("score").desc(), [key], k).withColumn(
-        "distance", F.round(1.0 - F.col("score"), 3)
-    )
+    return _ranked(hits, F.col("score").desc(), [key], k)
 
 
 def quoted_key(key: str) -> Column:
@@ -155,20 +164,23 @@ def vector_knn(
 ) -> DataFrame:
     """Nearest k vectors per query vector by squared Euclidean distance.
 
-    `queries` has columns query_id and query_vector. All query vectors enter
-    the scan as one scalar value (their number is checked), so there is one
-    pass over the vectors, no join, and only k rows per query and task are
-    shuffled. `where` is applied before ranking.
+    `queries` has columns query_id (each once) and query_vector. They are dealt
+    by a hash of the id to blocks of about VECTOR_BLOCK; a block enters its scan
+    as one scalar value, so there is no join, and only k rows per query and task
+    are shuffled. `where` is applied before ranking.
     """
-    packed = queries.agg(
-        F.collect_list(F.struct("query_id", "query_vector")).alias("q"),
-        F.count(F.lit(1)).alias("n"),
-    ).select(
-        F.when(F.col("n") <= MAX_QUERIES, F.col("q"))
-        .otherwise(F.raise_error(F.lit(f"at most {MAX_QUERIES} query vectors per call")))
-        .alias("q")
-    )
     scoped = vectors if where is None else vectors.where(where)
+    n_blocks = max(1, -(-queries.count() // VECTOR_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    return union_all(
+        [_vector_block(scoped, queries.where(block == b), key, vector, k, keep) for b in range(n_blocks)]
+    )
+
+
+def _vector_block(
+    scoped: DataFrame, queries: DataFrame, key: str, vector: str, k: int, keep: Sequence[str]
+) -> DataFrame:
+    packed = queries.agg(F.collect_list(F.struct("query_id", "query_vector")).alias("q"))
 
     def squared(a: Column, b: Column) -> Column:
         gaps = F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))

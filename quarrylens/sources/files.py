@@ -18,7 +18,7 @@ NA_TOKENS = (
     "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 TRUTH = r"^(True|TRUE|true|False|FALSE|false)$"
 
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet", ".orc": "orc"}
@@ -79,17 +79,26 @@ def scan_csv(
     *,
     schema: T.StructType | str | None = None,
     rows: int | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """A CSV file or folder with header. Without a schema, types are inferred
-    from every row after the missing-value texts are nulled."""
+    """A CSV file or folder with header.
+
+    The missing-value texts are nulled first; then cells take the types of the
+    schema (null where one doesn't fit), or those inferred from every row.
+    Quoted line breaks are kept, which reads a file in one task; files without
+    any are split with `multi_line=False`.
+    """
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    fields: list[T.StructField] = []
     if schema is not None:
-        return row_cap(reader.schema(schema).csv(path), rows)
+        fields = (schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)).fields
+        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
     raw = row_cap(reader.csv(path), rows)
     text = raw.select(
         *[F.when(~quoted(c).isin(*NA_TOKENS), quoted(c)).alias(c) for c in raw.columns]
     )
+    if schema is not None:
+        return text.select(*[quoted(f.name).try_cast(f.dataType).alias(f.name) for f in fields])
     kinds = infer_text_types(text)
     return text.select(*[_typed(quoted(c), kinds[c]).alias(c) for c in text.columns])
 
@@ -109,9 +118,11 @@ def flatten_nested(df: DataFrame) -> DataFrame:
 
 
 def _first_array_key(spark: SparkSession, path: str, schema: T.StructType) -> str | None:
-    """First list-valued key in file order; Spark's inferred fields are sorted by name."""
-    document = spark.read.text(path, wholetext=True).limit(1)
-    keys = document.select(F.json_object_keys("value").alias("keys")).first()
+    """First list-valued key in file order (Spark's inferred fields are sorted by
+    name); in a folder, that of the file whose path comes first."""
+    documents = spark.read.text(path, wholetext=True)
+    listed = documents.select(F.json_object_keys("value").alias("keys"), F.col("_metadata.file_path").alias("file"))
+    keys = listed.orderBy("file").first()
     if keys is None or keys["keys"] is None:
         return None
     arrays = {f.name for f in schema.fields if isinstance(f.dataType, T.ArrayType)}
@@ -142,6 +153,8 @@ def scan_json(
     key = record_path or _first_array_key(spark, path, df.schema)
     if key is not None:
         element = df.schema[key].dataType
+        if isinstance(element, T.ArrayType) and df.where(F.size(quoted(key)) > 0).isEmpty():
+            return spark.createDataFrame([], element.elementType if isinstance(element.elementType, T.StructType) else T.StructType())
         if not (isinstance(element, T.ArrayType) and isinstance(element.elementType, T.StructType)):
             raise ValueError(f"{path}: '{key}' does not hold a list of objects")
         df = df.select(F.inline(quoted(key)))

@@ -66,14 +66,15 @@ def test_empty_table_keeps_its_columns(spark, table):
     assert {(r["row_count"], r["distinct_count"], r["uniqueness_ratio"], r["duplicate_count"]) for r in rows} == {(0, 0, 0.0, 0)}
 
 
-def test_date_like_uses_the_first_values(spark):
+def test_date_like_uses_all_values(spark):
     rows = [(i, "2024-01-01" if i < 100 else "soon") for i in range(120)]
     tables = {"t": spark.createDataFrame(rows, "k int, v string").coalesce(1)}
-    for order in (None, {"t": ["k"]}):
-        kinds = {r["column_name"]: r["data_type"] for r in profile.profile_types(tables, order).collect()}
-        assert kinds["v"] == "DATETIME"
-    strict = profile.profile_columns(tables, type_sample=None).where("column_name = 'v'").first()
-    assert strict["data_type"] == "TEXT"
+    for found in (profile.profile_types(tables), profile.profile_columns(tables)):
+        assert {r["column_name"]: r["data_type"] for r in found.collect()}["v"] == "TEXT"
+    sampled = profile.profile_columns(tables, type_sample=100, order_by={"t": ["k"]})
+    assert {r["column_name"]: r["data_type"] for r in sampled.collect()}["v"] == "DATETIME"
+    with pytest.raises(ValueError):
+        profile.profile_columns(tables, type_sample=100)
 
 
 def test_words_are_not_dates(spark):

@@ -68,3 +68,16 @@ def test_jdbc_options():
     assert split["dbtable"] == '"orders"' and split["numPartitions"] == "64"
     with pytest.raises(ValueError):
         jdbc.dialect("jdbc:oracle:thin")
+
+
+def test_csv_keeps_quoted_breaks_and_types_with_missing_values(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note,x\n1,"two\nlines",inf\n2,NA,1.5\n')
+    rows = files.scan_csv(spark, str(tmp_path / "a.csv")).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, "two\nlines", float("inf")), (2, None, 1.5)]
+    typed = files.scan_csv(spark, str(tmp_path / "a.csv"), schema="id int, note string, x double").orderBy("id").collect()
+    assert [tuple(r) for r in typed] == [tuple(r) for r in rows]
+
+
+def test_json_with_an_empty_list_is_an_empty_table(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"n": 1, "items": []}')
+    assert files.scan_json(spark, str(tmp_path / "a.json")).collect() == []

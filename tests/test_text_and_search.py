@@ -69,8 +69,19 @@ def test_scope_is_applied_before_ranking(spark):
     got = search.token_search(df, ["alpha"], k=2, where=F.col("ds") == "y").collect()
     assert sorted(r["doc_id"] for r in got) == [1, 2]
     assert search.token_search(df, ["..."]).collect() == []
-    with pytest.raises(ValueError):
-        search.token_search(df, ["a"] * (search.MAX_QUERIES + 1))
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"w{i} both") for i in range(6)], "doc_id int, text string")
+    points = df.selectExpr("doc_id AS vec_id", "array(float(doc_id), 1F) AS embedding")
+    asked = points.selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    queries = [f"w{i}" for i in range(6)]
+    once = search.token_search(df, queries, k=2).collect(), search.vector_knn(points, asked, k=2).collect()
+    monkeypatch.setattr(search, "TOKEN_BLOCK", 4)
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 2)
+    split = search.token_search(df, queries, k=2).collect(), search.vector_knn(points, asked, k=2).collect()
+    assert [sorted(map(tuple, x)) for x in split] == [sorted(map(tuple, x)) for x in once]
+    assert len(split[0]) == len(split[1]) == 12
 
 
 def test_knn(spark):

@@ -54,10 +54,6 @@ def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: df for d in V.DATASETS for t, df in V.dataset_tables(spark, sf_dir, d).items()}
 
 
-def all_orders() -> dict[str, list[str]]:
-    return {t: keys for d in V.DATASETS for t, keys in V.dataset_order(d).items()}
-
-
 def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored profile of all tables, made once per session and scale."""
 
@@ -278,7 +274,7 @@ def append_rows(spark, sf_dir):
 
 @query("profile_types")
 def profile_types(spark, sf_dir):
-    return profile.profile_types(all_tables(spark, sf_dir), all_orders())
+    return profile.profile_types(all_tables(spark, sf_dir))
 
 
 @query("profile_columns")
