@@ -25,12 +25,12 @@ def letter_words(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int = 7) -> DataFrame:
+def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int = 7, counted: bool = False) -> DataFrame:
     """About `per_label` rows of each label (all, where there are fewer), chosen
-    by a hash of doc_id."""
+    by a hash of doc_id; `counted` keeps n_label, the label's rows in the whole table."""
     counts = common.if_bounded(session.cut_lineage(rows.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))))
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(counts, label).where(u * F.col("n_label") < per_label).drop("n_label")
+    return rows.join(counts, label).where(u * F.col("n_label") < per_label).drop(*[] if counted else ["n_label"])
 
 
 def fit(sample: DataFrame, learn: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:

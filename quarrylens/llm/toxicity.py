@@ -5,8 +5,9 @@ and the mean of its character n-gram and affix vectors. Two gated recurrent
 layers read a window of WINDOW words from either end; attention pools their
 states, and a linear layer gives the window's log-odds. A text is read in all
 its windows, STRIDE apart and overlapping; it is as toxic as its most toxic
-window, and a logistic curve over that (fitted on the training texts) gives
-the score.
+window, and a logistic curve over that gives the score. The curve is fitted on
+the training texts, each weighted by its label's rows in the whole table over
+those in the sample, so that a score stands for the table's share of toxic texts.
 
 Training is numpy only: backpropagation through time, Adam, over a bounded
 sample. A toxic text need not be toxic throughout, so after a first epoch only
@@ -173,9 +174,12 @@ def starts(n: int) -> list[int]:
 
 
 def learn(pdf: pd.DataFrame, seed: int = 5) -> dict[str, np.ndarray]:
+    """text, toxic and n_label (rows of that label in the whole table)."""
     rng = np.random.default_rng(seed)
     texts = [learning.letter_words(t or "") for t in pdf["text"]]
     toxic = pdf["toxic"].to_numpy(np.float64)
+    of_label = pdf["n_label"].to_numpy(np.float64)
+    weight = of_label / pdf.groupby("toxic")["toxic"].transform("size").to_numpy()
     seen = Counter(w for t in texts for w in set(t))
     kept = sorted((w for w, n in seen.items() if n >= 3), key=lambda w: (-seen[w], w))[:VOCABULARY]
     number = {w: i + 1 for i, w in enumerate(kept)}
@@ -215,23 +219,32 @@ def learn(pdf: pd.DataFrame, seed: int = 5) -> dict[str, np.ndarray]:
         np.maximum.at(top, owner, odds)
         best = odds >= top[owner]
     at = np.isfinite(top)
-    scale, shift = _calibrated(top[at], toxic[at])
+    scale, shift = _calibrated(top[at], toxic[at], weight[at])
+    share = float((weight * toxic).sum() / weight.sum()) if len(toxic) else 0.5
     f, b = p["wf"], p["wb"]
     model = {k: p[k] for k in ("words", "grams", "uf", "ub", "v", "w", "c", "bf", "bb")}
     return model | {"wf": f, "wb": b, "curve": np.array([scale, shift, share]), "kept": np.array(kept, dtype="U")}
 
 
-def _calibrated(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic regression on one variable."""
-    a, b = 1.0, 0.0
+def _calibrated(odds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a weighted logistic regression on one variable."""
+    x, weight = np.array([1.0, 0.0]), weight / max(weight.sum(), 1e-9)
+
+    def loss(a: float, b: float) -> float:
+        z = a * odds + b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 5e-4 * (a - 1) ** 2
+
     for _ in range(200 if len(y) else 0):
-        q = _sigmoid(a * odds + b)
-        g = np.array([((q - y) * odds).mean() + 1e-3 * (a - 1), (q - y).mean()])
-        s = q * (1 - q)
-        h = np.array([[(s * odds * odds).mean() + 1e-3, (s * odds).mean()], [(s * odds).mean(), s.mean() + 1e-6]])
+        q = _sigmoid(x[0] * odds + x[1])
+        g = np.array([(weight * (q - y) * odds).sum() + 1e-3 * (x[0] - 1), (weight * (q - y)).sum()])
+        s = weight * q * (1 - q)
+        h = np.array([[(s * odds * odds).sum() + 1e-3, (s * odds).sum()], [(s * odds).sum(), s.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
-        a, b = max(a - step[0], 0.05), b - step[1]
-    return a, b
+        # a full step overshoots where the curve is flat
+        while loss(*(x - step)) > loss(*x) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        x = x - step
+    return max(x[0], 0.05), x[1]
 
 
 def _inputs(p: dict, word: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -295,16 +308,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS_PER_LABEL) -
     A doc_id labelled twice takes its higher label; null labels are none."""
     y = labels.select(labels["doc_id"], labels["toxic"]).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     d = common.only(docs, "doc_id", "text").where(~common.held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    ids = learning.bounded_sample(d.select("doc_id").join(y, "doc_id"), "toxic", per_label)
+    ids = learning.bounded_sample(d.select("doc_id").join(y, "doc_id"), "toxic", per_label, counted=True)
     ids = common.if_bounded(session.cut_lineage(ids.dropDuplicates(["doc_id"])))
-    return learning.fit(d.join(ids, "doc_id").select("doc_id", "text", "toxic"), learn)
+    return learning.fit(d.join(ids, "doc_id").select("doc_id", "text", "toxic", "n_label"), learn)
 
 
 def score_toxicity(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of `docs`.
 
     Texts without a word (null and empty ones too) get the share of toxic texts
-    in the sample; with nothing to learn from, all scores are 0. Only `text`
+    among all labelled ones outside the held-out fold; with nothing to learn from, all scores are 0. Only `text`
     enters a score; repeated rows get equal ones."""
     d = docs.select(docs["doc_id"], docs["text"])
     if model:

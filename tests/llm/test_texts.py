@@ -108,6 +108,17 @@ def test_toxicity(spark, docs_of):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_stand_for_the_whole_table(spark, docs_of):
+    # one text in 21 is toxic; of those with the word, a third
+    rows = [(i, "you idiot there" if i % 21 == 0 or i % 21 in (5, 11) else "good day there") for i in range(2100)]
+    docs, lab = docs_of(*rows), spark.createDataFrame([(i, int(i % 21 == 0)) for i in range(2100)], "doc_id long, toxic int")
+    model = toxicity.train(docs, lab, per_label=60)
+    got = toxicity.score_toxicity(docs.union(docs_of((-1, None))), model).collect()
+    by_text = {r.doc_id: r.score for r in got}
+    assert abs(by_text[21] - 1 / 3) < 0.1 and by_text[1] < 0.05 and abs(by_text[-1] - 1 / 21) < 0.01
+    assert sum(r.predicted for r in got) == 0
+
+
 @pytest.mark.parametrize(
     "page,text",
     [
