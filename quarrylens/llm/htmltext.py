@@ -2,7 +2,9 @@
 
 A page becomes a sequence of text blocks, each with its place in the DOM. A
 linear classifier on tags, class and id words, link density and length gives
-each block a log-odds of being content; its costs are the capacities to the two
+each block a log-odds of being content (a boilerplate word on an ancestor yields
+to a nearer article, main or content word, unless it names foreign text such as
+comments); its costs are the capacities to the two
 terminals. Neighbours in page order and blocks under one parent are tied by
 smoothness edges. The minimum cut of this graph is the cheapest labelling; the
 blocks on the content side are the text.
@@ -20,6 +22,7 @@ import math
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,21 +49,35 @@ OFF_WORDS = frozenset(
     " promotion recommended related replies reply respond rss search share sharing shoutbox sidebar signin signup skip social"
     " sponsor sponsored subscribe subscription tagcloud teaser toc toolbar tools widget widgets".split()
 )
+# Of these, names of what isn't the page's own text, wherever it stands: no content word inside overrules them.
+FOREIGN_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising comment comments commentlist consent cookie cookies copyright"
+    " disclaimer discussion disqus gdpr newsletter pagination popup promo promoted promotion recommended related replies reply"
+    " respond shoutbox signin signup sponsor sponsored subscribe subscription tagcloud".split()
+)
+#: First words of a class that tell about its element's neighbours or state (has-sidebar).
+STATES = frozenset("has have no not with without is show shows hide".split())
 ON_WORDS = frozenset("article articlebody body content entry main maincontent page post prose story text".split())
 # Weights of the classifier.
 BIAS, IN_ARTICLE, OUT_OF_ARTICLE, OFF, ON, HEADING, LINKS, LENGTH, MARKS = 1.3, 6.0, -7.0, -14.0, 2.0, 1.0, -5.0, 1.2, 0.8
+#: Part of OFF where a boilerplate word stands against a content word: long text without links outweighs it.
+DOUBT = 0.1
+#: How surely an element is boilerplate: by a tag or as hidden, by a foreign word, by another word, in doubt.
+HARD, FOREIGN, SOFT, DOUBTFUL, CLEAR = 4, 3, 2, 1, 0
 ADJACENT, SIBLING = 0.5, 0.7
 
 _TOKEN = re.compile(
     r"<!--(?:.*?)(?:-->|\Z)"
     r"|<(script|style|xmp|noframes|noembed)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    # quotes count where a value begins; any other is a character like others
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)|[^>])*+)>"
     r"|<[!?/][^>]*>"
     r"|([^<]+|<)",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+_NAMES = frozenset("class id role itemprop aria-label".split())
+_INVISIBLE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -72,27 +89,49 @@ class Block:
         self.off, self.on, self.inside, self.parent = place
 
 
-def _traits(tag: str, attrs: str, off: bool, on: bool, inside: bool) -> tuple[bool, bool, bool]:
+@lru_cache(maxsize=4096)
+def _said(attrs: str) -> tuple[int, bool]:
+    """What an element's attributes say: how surely it is boilerplate, and whether it is content."""
+    off, on, words = CLEAR, False, False
+    for m in _ATTRIBUTE.finditer(attrs):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if (
+            (name == "hidden" and value.lower() != "false")
+            or (name == "style" and _INVISIBLE.search(value))
+            or (name == "aria-hidden" and value.strip().lower() == "true")
+        ):
+            return HARD, False
+        for part in value.split() if name in _NAMES else ():
+            if name == "class" and part.lower() == "hidden":
+                off = max(off, SOFT)
+            names = [w.lower() for w in _WORD.findall(part)]
+            on = on or not ON_WORDS.isdisjoint(names)
+            if names and names[0] in STATES:
+                continue
+            words = words or not OFF_WORDS.isdisjoint(names)
+            off = max(off, FOREIGN if not FOREIGN_WORDS.isdisjoint(names) else SOFT if words else CLEAR)
+    return (DOUBTFUL if off == SOFT and words and on else off), on
+
+
+def _traits(tag: str, attrs: str, off: int, on: bool, inside: bool) -> tuple[int, bool, bool]:
+    says, says_on = _said(attrs) if attrs and tag not in ("body", "html") and ("=" in attrs or "hidden" in attrs) else (CLEAR, False)
     if tag in OFF_TAGS or (tag == "header" and not inside):
-        off = True
+        # a form around a whole page is as weak as a word
+        says = max(says, SOFT if tag == "form" else HARD)
     if tag in ("article", "main"):
         inside = True
-    if attrs and tag not in ("body", "html"):
-        if "=" in attrs or "hidden" in attrs:
-            if _HIDDEN.search(attrs):
-                off = True
-            for m in _NAMES.finditer(attrs):
-                names = {w.lower() for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
-                off = off or not names.isdisjoint(OFF_WORDS)
-                on = on or not names.isdisjoint(ON_WORDS)
-    return off, on, inside
+        if says < SOFT and off <= SOFT:
+            off = CLEAR
+    elif says_on and says == CLEAR and off == SOFT:
+        off = DOUBTFUL
+    return max(off, says), on or says_on, inside
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order, with what their ancestors say about them."""
     out: list[Block] = []
     # (tag, off, on, inside, number)
-    stack: list[tuple] = [("", False, False, False, 0)]
+    stack: list[tuple] = [("", CLEAR, False, False, 0)]
     text: list[str] = []
     links = silent = in_link = number = 0
 
@@ -162,9 +201,10 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def log_odds(b: Block, has_article: bool) -> float:
-    """Of being content."""
-    z = BIAS + OFF * b.off + ON * (b.on and not b.off) + HEADING * (b.tag in HEADINGS)
+def log_odds(b: Block, has_article: bool, doubted: int = DOUBTFUL) -> float:
+    """Of being content. What is surely boilerplate up to `doubted` is in doubt."""
+    off = float(b.off > CLEAR) if b.off > doubted else DOUBT * (b.off > CLEAR)
+    z = BIAS + OFF * off + ON * (b.on and off < 1) + HEADING * (b.tag in HEADINGS)
     if has_article:
         z += IN_ARTICLE if b.inside else OUT_OF_ARTICLE
     z += LINKS * min(1.0, b.links / len(b.text))
@@ -229,7 +269,7 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    has_article = any(b.inside and not b.off for b in found)
+    has_article = any(b.inside and b.off < SOFT for b in found)
     edges: dict[tuple[int, int], float] = {}
     last_of: dict[int, int] = {}
     for i, b in enumerate(found):
@@ -240,6 +280,11 @@ def main_text(page: str | None) -> str:
             edges[j, i] = edges.get((j, i), 0.0) + SIBLING
         last_of[b.parent] = i
     keep = min_cut([log_odds(b, has_article) for b in found], edges)
+    for doubted in (SOFT, FOREIGN):
+        if not any(keep):
+            # boilerplate words on a wrapper of everything
+            has_article = any(b.inside and b.off <= doubted for b in found)
+            keep = min_cut([log_odds(b, has_article, doubted) for b in found], edges)
     return " ".join(b.text for b, k in zip(found, keep) if k)
 
 

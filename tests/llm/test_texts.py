@@ -141,6 +141,29 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+LONG = "A long paragraph about something that happened, told in many words and without any links at all."
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ["content-sidebar-wrap", "has-sidebar", "elementor-widget elementor-widget-text-editor", "header-fixed page", "overflow-hidden", "sidebar-layout"],
+)
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_main_text_in_wrappers_with_boilerplate_words(wrapper, inner):
+    comment = "<div id=comments><div class=comment-body><p>Great post, thanks for all of it, and more of this.</p></div></div>"
+    page = f"<div class='{wrapper}'><div class=nav><a href=/>Home</a></div><{inner}><p>{LONG}</p><p>{LONG}</p></{inner}>{comment}</div>"
+    assert htmltext.main_text(page) == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize(
+    "tag",
+    ["<img alt='Today's news'>", "<img alt=Today's>", "<img src=a ' title=\"x > y\">", "<img data=5\">", "<img alt='Today's news' src='a.png'>"],
+)
+def test_main_text_with_stray_quotes(tag):
+    page = f"<article><p>{LONG}</p>{tag}<p>{LONG}</p><p>It's {LONG}</p></article>"
+    assert htmltext.main_text(page) == f"{LONG} {LONG} It's {LONG}"
+
+
 def test_min_cut_against_all_labellings():
     import itertools
 
