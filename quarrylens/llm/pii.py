@@ -24,11 +24,14 @@ from quarrylens import session
 
 KEY = "rotate-me"
 
+#: Attempts from which surrogates grow longer.
+LONGER = 16
+
 # Patterns by type; earlier ones win where several fit.
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = (
-    r"(?<=(?i:token|secret|api[_-]?key|apikey|passwd|password|access[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?)[A-Za-z0-9_+/=-]{12,}"
+    r"(?<=(?i:token|secret|api[_-]?key|apikey|passwd|password|access[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?)(?=[_+/=-]*[A-Za-z0-9])[A-Za-z0-9_+/=-]{12,}"
     r"|(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 )
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
@@ -43,10 +46,27 @@ PHONE = (
     r"|(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])"
 )
 # Titles by gender.
-FEMALE = r"Mrs|Ms|Miss|Frau|Mme|Madame|Mademoiselle|Señora|Señorita|Sra|Srta|Госпожа|госпожа|г-жа"
-MALE = r"Mr|Herr|Monsieur|Señor|Sr|Господин|господин|г-н"
-EITHER = r"Dr|Prof"
-PERSON = rf"(?<![\p{{L}}\p{{M}}])(?:{FEMALE}|{MALE}|{EITHER})\.? \p{{Lu}}[\p{{Ll}}\p{{M}}]+(?:[ -]\p{{Lu}}[\p{{Ll}}\p{{M}}]+)?"
+FEMALE = r"Mrs|MRS|Ms|Miss|MISS|Frau|FRAU|Mme|Madame|MADAME|Mademoiselle|Señora|SEÑORA|Señorita|Sra|Srta|Госпожа|госпожа|ГОСПОЖА|г-жа"
+MALE = r"Mr|MR|Herr|HERR|Monsieur|MONSIEUR|Señor|SEÑOR|Sr|Господин|господин|ГОСПОДИН|г-н"
+EITHER = r"Dr|Prof|PROF"
+# In capitals these are titles only before capitals (MS SMITH, but MS Word).
+LOUD_FEMALE, LOUD_MALE, LOUD_EITHER = r"(?:MS|MME|SRA|SRTA)(?=\.? \p{Lu}{2})", r"SR(?=\.? \p{Lu}{2})", r"DR(?=\.? \p{Lu}{2})"
+TITLE = rf"(?:{FEMALE}|{MALE}|{EITHER}|{LOUD_FEMALE}|{LOUD_MALE}|{LOUD_EITHER})\.? "
+# Small words inside names, and capitalized words that end one.
+PARTICLE = (
+    r"(?:van|von|vom|zu|zum|zur|de|der|den|del|della|di|da|das|dos|du|des|la|le|ten|ter|bin|ibn|al|el|y|e|af|av|"
+    r"VAN|VON|VOM|ZU|DE|DER|DEN|DEL|DI|DA|DU|LA|LE|TEN|TER|BIN|IBN|AL|EL)"
+)
+NO_NAME = (
+    r"(?:I|And|AND|Or|OR|The|THE|Is|IS|Was|WAS|Are|ARE|Has|HAS|Had|HAD|Will|WILL|At|AT|In|IN|Of|OF|On|ON|To|TO|For|FOR|From|FROM|"
+    r"With|WITH|And|He|HE|She|SHE|They|THEY|We|WE|You|YOU|It|IT|Who|WHO|Said|SAID|Und|UND|Et|ET|Ist|IST|Hat|HAT)(?![\p{L}\p{M}'’-])"
+)
+_WORD = (
+    r"(?:\p{Lu}\.(?![\p{L}\p{M}])|(?:(?:[dlDL]|[Aa]l|[Ee]l)['’-])?\p{Lu}[\p{L}\p{M}]*(?:['’-]\p{L}[\p{L}\p{M}]*)*)"
+)
+#: Any number of parts: inner capitals, hyphens, apostrophes, initials, particles, all capitals.
+NAME = rf"(?:{PARTICLE} )*{_WORD}(?: (?!{NO_NAME})(?:{PARTICLE} )*{_WORD})*"
+PERSON = rf"(?<![\p{{L}}\p{{M}}])(?:{TITLE})+{NAME}"
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, CARD, IPV4, SSN, PHONE, PERSON))
 
 # Given names by script and gender, and surnames by script.
@@ -79,8 +99,10 @@ def _kind(e: Column) -> Column:
 
 
 def _canonical(kind: Column, e: Column) -> Column:
-    gender = F.when(e.rlike(f"^(?:{FEMALE})"), F.lit("f")).when(e.rlike(f"^(?:{MALE})"), F.lit("m")).otherwise(F.lit("x"))
-    name = F.lower(F.regexp_replace(e, r"^\S+ ", ""))
+    """A person's is its title's gender (f, m or x), a colon and the name."""
+    says = lambda female, loud: e.rlike(rf"^(?:{TITLE})*(?:{female}|{loud})\.? ")
+    gender = F.when(says(FEMALE, LOUD_FEMALE), F.lit("f")).when(says(MALE, LOUD_MALE), F.lit("m")).otherwise(F.lit("x"))
+    name = F.translate(F.lower(F.regexp_replace(e, f"^(?:{TITLE})+", "")), "’", "'")
     return (
         F.when(kind == "person", F.concat(gender, F.lit(":"), name))
         .when(kind.isin("card", "phone", "ssn"), F.regexp_replace(e, r"\D", ""))
@@ -88,6 +110,21 @@ def _canonical(kind: Column, e: Column) -> Column:
     )
 
 
+def one_person_each(found: DataFrame) -> DataFrame:
+    """`found` with the persons named without a gender (Dr.) merged with those of
+    the same name and one gender; where a name has both, it stays apart."""
+    people = session.cut_lineage(found.where("kind = 'person'").select("canon").distinct())
+    name = F.substr("canon", F.lit(3))
+    genders = F.collect_set(F.when(~F.col("canon").startswith("x:"), F.left("canon", F.lit(1))))
+    by_name = people.groupBy(name.alias("name")).agg(genders.alias("g"), F.max(F.col("canon").startswith("x:")).alias("bare"))
+    merged = by_name.where((F.size("g") == 1) & F.col("bare")).select(
+        F.concat(F.lit("x:"), "name").alias("canon"), F.concat(F.col("g")[0], F.lit(":"), "name").alias("as_canon")
+    )
+    merged = merged.withColumn("kind", F.lit("person"))
+    joined = found.join(merged, ["kind", "canon"], "left")
+    return joined.withColumn("canon", F.coalesce("as_canon", "canon")).select(*found.columns)
+
+
 def _draw(key: str, *parts: str) -> str:
     """SQL of a number below 2^32, keyed by the secret and the parts."""
     joined = ", ".join(("'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'", *[f"cast({p} AS string)" for p in parts]))
@@ -103,6 +140,10 @@ def _surrogate(key: str) -> Column:
         f"WHEN c RLIKE '[0-9]' THEN cast({r} % 10 AS string) WHEN c RLIKE '[a-f]' AND kind = 'secret' AND canon RLIKE '^[0-9a-f]+$' "
         f"THEN substr('abcdef', cast({r} % 6 AS int) + 1, 1) WHEN c RLIKE '[a-z]' THEN {letter} WHEN c RLIKE '[A-Z]' THEN upper({letter}) ELSE c END), '')"
     )
+    # no free value of this length: longer and longer ones
+    more = f"cast({r} % 10 AS string)"
+    more = f"CASE WHEN kind IN ('email', 'secret') THEN {letter} ELSE {more} END"
+    longer = f"CASE WHEN attempt < {LONGER} THEN '' ELSE array_join(transform(sequence(1000, 1000 + attempt - {LONGER}), i -> {more}), '') END"
     ip = f"array_join(transform(sequence(0, 3), i -> cast(1 + {r} % 254 AS string)), '.')"
     kept_end = r"regexp_extract(canon, '(\\.[a-z]{2,})$', 1)"
     mail = f"concat(left({spelled}, length(canon) - length({kept_end})), {kept_end})"
@@ -120,7 +161,7 @@ def _surrogate(key: str) -> Column:
         return f"CASE WHEN canon RLIKE '[ -]' THEN concat({first}, ' ', {last}) ELSE {last} END"
 
     person = f"concat(left(canon, 2), CASE WHEN canon RLIKE '[а-яё]' THEN {name('cyrillic')} ELSE {name('latin')} END)"
-    return F.expr(f"CASE kind WHEN 'ipv4' THEN {ip} WHEN 'email' THEN {mail} WHEN 'person' THEN {person} ELSE {spelled} END")
+    return F.expr(f"CASE kind WHEN 'ipv4' THEN {ip} WHEN 'email' THEN concat({mail}, {longer}) WHEN 'person' THEN {person} ELSE concat({spelled}, {longer}) END")
 
 
 def _shown(e: str, kind: str, canon: str) -> Column:
@@ -131,7 +172,12 @@ def _shown(e: str, kind: str, canon: str) -> Column:
         f"array_join(transform(split({e}, ''), (c, i) -> CASE WHEN c RLIKE '[A-Z]' THEN upper(substr({canon}, i + 1, 1)) "
         f"WHEN c RLIKE '[a-z0-9]' THEN substr({canon}, i + 1, 1) ELSE c END), '')"
     )
-    person = f"concat(regexp_extract({e}, '^\\\\S+ ', 0), substr({canon}, 3))"
+    title = f"regexp_extract({e}, '^(?:{TITLE})+', 0)".replace("\\", "\\\\")
+    own = f"substr({e}, length({title}) + 1)"
+    loud = f"{own} = upper({own}) AND {own} RLIKE '[\\\\p{{L}}]{{2}}'"
+    person = f"concat({title}, CASE WHEN {loud} THEN upper(substr({canon}, 3)) ELSE substr({canon}, 3) END)"
+    digits = f"concat({digits}, substr({canon}, length(regexp_replace({e}, '[^A-Za-z0-9]', '')) + 1))"
+    cased = f"concat({cased}, substr({canon}, length({e}) + 1))"
     return F.expr(
         f"CASE {kind} WHEN 'person' THEN {person} WHEN 'ipv4' THEN {canon} "
         f"WHEN 'email' THEN {cased} WHEN 'secret' THEN {cased} ELSE {digits} END"
@@ -140,15 +186,17 @@ def _shown(e: str, kind: str, canon: str) -> Column:
 
 def surrogates(found: DataFrame, key: str = KEY) -> DataFrame:
     """kind, canon, surrogate for each distinct (kind, canon) of `found`."""
+    # what is seen of a surrogate: not a person's gender or case
+    face = lambda c: F.when(F.col("kind") == "person", F.lower(F.substr(c, F.lit(3)))).otherwise(F.col(c))
     known = session.cut_lineage(found.select("kind", "canon").distinct())
     todo, done = known.withColumn("attempt", F.lit(0)), None
     while True:
-        drawn = session.cut_lineage(todo.withColumn("surrogate", _surrogate(key)))
-        taken = known.select("kind", F.col("canon").alias("surrogate"))
+        drawn = session.cut_lineage(todo.withColumn("surrogate", _surrogate(key)).withColumn("face", face("surrogate")))
+        taken = known.select("kind", face("canon").alias("face"))
         if done is not None:
-            taken = taken.union(done.select("kind", "surrogate"))
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
-        won = first.join(taken.distinct(), ["kind", "surrogate"], "left_anti").select("kind", "canon", "surrogate")
+            taken = taken.union(done.select("kind", face("surrogate").alias("face")))
+        first = drawn.groupBy("kind", "face").agg(F.min(F.struct("canon", "surrogate")).alias("least"))
+        won = first.join(taken.distinct(), ["kind", "face"], "left_anti").select("kind", "least.canon", "least.surrogate")
         done = session.cut_lineage(won if done is None else done.union(won))
         todo = session.cut_lineage(
             drawn.join(done, ["kind", "canon"], "left_anti").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
@@ -169,7 +217,7 @@ def replace_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
     clean = d.where(F.size("ents") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
     hit = session.cut_lineage(d.where(F.size("ents") > 0).withColumn("row_no", F.monotonically_increasing_id()))
     e = hit.select("row_no", F.posexplode("ents").alias("pos", "e")).withColumn("kind", _kind(F.col("e")))
-    e = session.cut_lineage(e.withColumn("canon", _canonical(F.col("kind"), F.col("e"))))
+    e = session.cut_lineage(one_person_each(session.cut_lineage(e.withColumn("canon", _canonical(F.col("kind"), F.col("e"))))))
     shown = e.join(surrogates(e, key), ["kind", "canon"]).select("row_no", "pos", _shown("e", "kind", "surrogate").alias("r"))
     by_row = shown.groupBy("row_no").agg(F.sort_array(F.collect_list(F.struct("pos", "r"))).alias("rs"))
     rest = F.split("text", PATTERN)

@@ -213,6 +213,34 @@ def test_personal_data(spark, docs_of):
     assert pii.replace_personal_data(docs.limit(0)).count() == 0
 
 
+def test_whole_names_are_replaced(spark, docs_of):
+    names = ["Mr John Peter Smith", "Dr. Anna-Maria Schulz", "Mr McDonald", "Mr O'Brien", "MR SMITH", "Frau von der Leyen", "Prof. Dr. Ines K. Adam-Roy", "Mme d'Arc", "DR. JOHN SMITH"]
+    docs = docs_of(*[(i, f"met {n} today") for i, n in enumerate(names)], (50, "MS Word and Mr Kern and The others"))
+    got = {r.doc_id: r for r in pii.replace_personal_data(docs, "k").collect()}
+    for i, n in enumerate(names):
+        assert got[i].n_entities == 1 and got[i].text.startswith("met " + n.split()[0]) and got[i].text.endswith(" today")
+        parts = re.sub(r"^((Mr|MR|Dr\.|DR\.|Frau|Prof\.|Mme) )+", "", n)
+        assert not {p for p in re.findall(r"\w{3,}", parts)} & set(re.findall(r"\w+", got[i].text)), got[i].text
+    assert re.fullmatch(r"met MR [A-Z]+ today", got[4].text) and got[50].text.startswith("MS Word and Mr ") and got[50].text.endswith(" and The others")
+
+
+def test_persons_are_one_whatever_their_titles(spark, docs_of):
+    text = "Dr. Anna Keller, Frau Anna Keller, FRAU ANNA KELLER; Dr. Kai Kern, Herr Kai Kern, Frau Kai Kern; Prof. Uwe Ohm"
+    (got,) = pii.replace_personal_data(docs_of((1, text)), "k").collect()
+    keller, kern, _ = got.text.split("; ")
+    a, b, c = (x.split(" ", 1)[1] for x in keller.split(", "))
+    assert got.n_entities == 7 and a == b and c == a.upper() and a.split()[0] in pii.NAMES["latin"]["f"]
+    assert len({x.split(" ", 1)[1] for x in kern.split(", ")}) == 3
+
+
+def test_surrogates_end_where_no_value_is_free(spark, docs_of):
+    (got,) = pii.replace_personal_data(docs_of((1, "password: ____________ and token: ___________1"))).collect()
+    assert got.text.startswith("password: ____________ and token: ") and got.n_entities == 1
+    found = spark.createDataFrame([("ssn", str(i)) for i in range(10)] + [("secret", "____")], "kind string, canon string")
+    got = pii.surrogates(found, "k").collect()
+    assert len({(r.kind, r.surrogate) for r in got}) == 11 and not {r.surrogate for r in got} & {r.canon for r in got}
+
+
 def test_surrogates_are_distinct(spark):
     names = [("person", f"f:name{i} other{i % 7}") for i in range(900)] + [("phone", f"{i:03d}") for i in range(300)]
     found = spark.createDataFrame(names, "kind string, canon string")
