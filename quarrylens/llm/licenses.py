@@ -80,14 +80,17 @@ def licenses(docs: DataFrame, templates: DataFrame | None = None, num: int = 4,
     window): one row per document and template found in it.
 
     A template is found where a window holds at least num / den of its distinct
-    shingles (five words of letters and digits, lower-cased) and as large a
-    share of no other template of its length. Null and empty
-    texts hold none; repeated rows (id and text) count once; a null id is an id
-    of its own; templates without five words are one shingle of their words,
-    found only in a document of just these.
+    shingles (five words of letters and digits, lower-cased), unless templates of
+    other licenses fit better (a larger share, or as large a one of more words)
+    on half of the positions where it matches. Null and empty texts hold none;
+    repeated rows (id and text) count once; a null id is an id of its own;
+    templates of fewer than five words are sought as they are.
     """
     spark = docs.sparkSession
-    t = windows.hashed(templates if templates is not None else template_table(spark), "license", "template_no")
+    given = templates if templates is not None else template_table(spark)
+    n_words = F.size(windows.plain_words(F.col("text")))
+    given = session.cut_lineage(given.select("license", "template_no", "text", n_words.alias("n_words")))
+    t = windows.hashed(given.where(F.col("n_words") >= windows.SHINGLE), "license", "template_no", "n_words")
     t = t.withColumn("h", F.array_distinct("h")).withColumn("size", F.size("h"))
     doubled = F.ceil(F.log2((F.col("size") * 2).cast("double"))).cast("int")
     t = t.withColumn("m", F.greatest(F.lit(LEAST_WINDOW), F.expr("cast(1 AS int)") * F.pow(F.lit(2), doubled)).cast("int"))
@@ -100,14 +103,31 @@ def licenses(docs: DataFrame, templates: DataFrame | None = None, num: int = 4,
     spans = spans.select("doc_id", "key", (F.col("no") * step).cast("int").alias("s"), "m").distinct()
     cut = session.cut_lineage(windows.cut_out(docs, session.cut_lineage(spans)))
     probes = cut.select("doc_id", "key", "s", "m", "h", F.posexplode(_bands("h")).alias("band", "v"))
-    known = t.select("license", "template_no", "m", F.col("h").alias("ht"), F.posexplode("bands").alias("band", "v"))
+    known = t.select("license", "template_no", "n_words", "m", F.col("h").alias("ht"), F.posexplode("bands").alias("band", "v"))
     found = probes.join(known, ["m", "band", "v"]).dropDuplicates(["doc_id", "key", "s", "m", "license", "template_no"])
     found = found.withColumn("x", F.size(F.array_intersect("h", "ht"))).where(F.col("x") * den >= F.size("ht") * num)
-    # a notice beside its variants (versions of one license) is the one it holds most of
-    rival = Window.partitionBy("doc_id", "key", "s", "m")
-    found = found.withColumn("most", F.max(F.col("x") / F.size("ht")).over(rival)).where(F.col("x") / F.size("ht") == F.col("most"))
-    best = F.max(F.struct((F.col("x") / F.size("ht")).alias("containment"), (-F.col("s")).alias("back")))
-    out = found.groupBy("doc_id", "license", "template_no").agg(best.alias("best"))
+    matched = "filter(transform(h, (y, i) -> CASE WHEN array_contains(ht, y) THEN s + i END), p -> p IS NOT NULL)"
+    row = ["doc_id", "key", "s", "m", "license", "template_no"]
+    found = found.select(*row, "n_words", (F.col("x") / F.size("ht")).alias("containment"), F.expr(matched).alias("at"))
+    for n in range(1, windows.SHINGLE):
+        short = given.where(F.col("n_words") == n)
+        if not short.isEmpty():
+            short = windows.hashed(short, "license", "template_no", "n_words", n=n).select(
+                "license", "template_no", "n_words", F.explode("h").alias("x")
+            )
+            at = windows.positions(docs, n).join(common.if_bounded(session.cut_lineage(short)), "x")
+            found = found.union(at.select(
+                "doc_id", "key", F.col("pos").alias("s"), F.lit(n).alias("m"), "license", "template_no", "n_words",
+                F.lit(1.0).alias("containment"), F.array("pos").alias("at"),
+            ).distinct())
+    # versions and variants of a license match on the same positions: the best fit stands
+    placed = found.withColumn("fit", F.struct("containment", "n_words")).select(*row, "fit", F.explode("at").alias("pos"))
+    best_here = F.max(F.struct("fit", "license")).over(Window.partitionBy("doc_id", "key", "pos"))
+    placed = placed.withColumn("top", best_here)
+    beaten = (F.col("top.fit") > F.col("fit")) & (F.col("top.license") != F.col("license"))
+    kept = placed.groupBy(*row).agg(F.max("fit.containment").alias("containment"), F.avg(beaten.cast("int")).alias("lost"))
+    best = F.max(F.struct("containment", (-F.col("s")).alias("back")))
+    out = kept.where("lost < 0.5").groupBy("doc_id", "license", "template_no").agg(best.alias("best"))
     return out.select(
         "doc_id", "license", "template_no", "best.containment", (-F.col("best.back")).cast("long").alias("start")
     )

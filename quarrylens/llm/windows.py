@@ -37,10 +37,10 @@ def reference_shingles(reference: DataFrame, *keys: str) -> DataFrame:
     return reference.select(*keys, F.size("h").alias("m"), F.posexplode("h").alias("at", "x"))
 
 
-def positions(docs: DataFrame) -> DataFrame:
+def positions(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     """doc_id, key (hash of the text), pos, x: one row per word position."""
     d = common.only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("key"), "text")
-    return hashed(d, "doc_id", "key").select("doc_id", "key", F.posexplode_outer("h").alias("pos", "x"))
+    return hashed(d, "doc_id", "key", n=n).select("doc_id", "key", F.posexplode_outer("h").alias("pos", "x"))
 
 
 def cut_out(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -170,6 +170,13 @@ def test_simhash_blocks_hold_the_radius(spark):
     assert hits.count() == 300
 
 
+def test_unrelated_notices_stand_beside_each_other(spark, docs_of):
+    bsd = licenses.TEMPLATES["BSD-2-Clause"][0].replace("met: ", "met: 1. ")
+    docs = docs_of(*[(i, f"{item(4 * i + 1, i)} {licenses.TEMPLATES['GPL-3.0'][1]} {bsd} {item(90, i + 99)}") for i in range(16)])
+    got = {(r.doc_id, r.license) for r in licenses.licenses(docs).collect()}
+    assert got == {(i, name) for i in range(16) for name in ("GPL-3.0", "BSD-2-Clause")}
+
+
 def test_licenses(spark, docs_of):
     mit = licenses.TEMPLATES["MIT"][2]
     docs = docs_of(
