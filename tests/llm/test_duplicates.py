@@ -170,6 +170,21 @@ def test_simhash_blocks_hold_the_radius(spark):
     assert hits.count() == 300
 
 
+def test_license_versions_and_tags(spark, docs_of):
+    gpl3 = licenses.TEMPLATES["GPL-3.0"][1]
+    notices = {
+        "GPL-2.0-or-later": gpl3.replace("version 3", "version 2"), "AGPL-3.0": gpl3.replace("GNU", "GNU Affero"), "GPL-3.0": gpl3,
+        "LGPL-3.0": gpl3.replace("GNU", "GNU Lesser"), "LGPL-2.1": gpl3.replace("GNU", "GNU Lesser").replace("version 3", "version 2.1"),
+        "MIT": "SPDX-License-Identifier: MIT", "Zlib": "/* SPDX-License-Identifier: Zlib */", "BSD-2-Clause": "SPDX-License-Identifier: BSD-2-Clause",
+        "BSL-1.0": licenses.TEMPLATES["BSL-1.0"][0], "EPL-2.0": licenses.TEMPLATES["EPL-2.0"][0],
+    }
+    docs = docs_of(*[(i, f"{item(30, i)} {text} {item(40, i + 50)}") for i, text in enumerate(notices.values())])
+    got = {(r.doc_id, r.license) for r in licenses.licenses(docs).collect()}
+    assert got == set(enumerate(notices))
+    tag = docs_of((1, "SPDX-License-Identifier: GPL-2.0-or-later"), (2, "SPDX-License-Identifier: GPL-2.0-only"))
+    assert {(r.doc_id, r.license) for r in licenses.licenses(tag).collect()} == {(1, "GPL-2.0-or-later"), (2, "GPL-2.0")}
+
+
 def test_unrelated_notices_stand_beside_each_other(spark, docs_of):
     bsd = licenses.TEMPLATES["BSD-2-Clause"][0].replace("met: ", "met: 1. ")
     docs = docs_of(*[(i, f"{item(4 * i + 1, i)} {licenses.TEMPLATES['GPL-3.0'][1]} {bsd} {item(90, i + 99)}") for i in range(16)])
