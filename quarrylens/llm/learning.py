@@ -20,9 +20,18 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
 
 
+#: Characters of a word at most; longer runs are read in pieces that share OVERLAP.
+WIDTH = 24
+OVERLAP = 8
+
+
 def letter_words(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _LETTERS.findall(text.lower())
+    """Runs of letters, lower-cased; longer ones in overlapping pieces."""
+    found = _LETTERS.findall(text.lower())
+    if max(map(len, found), default=0) <= WIDTH:
+        return found
+    step = WIDTH - OVERLAP
+    return [w[i : i + WIDTH] for w in found for i in range(0, max(1, len(w) - OVERLAP), step)]
 
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int, seed: int = 7, counted: bool = False) -> DataFrame:
@@ -48,17 +57,11 @@ def fit(sample: DataFrame, learn: Callable[[pd.DataFrame], dict[str, np.ndarray]
     return dict(np.load(io.BytesIO(rows[0]["model"]))) if rows else {}
 
 
-#: Characters of a word that n-grams see; of a longer one the first and last half.
-WIDTH = 24
-
-
 def ngram_hashes(words: list[str], buckets: int) -> np.ndarray:
     """Hashed affixes (1 to 3 characters at either end) and character 2- and
-    3-grams of each word with its boundaries: (n, 2 WIDTH + 7) numbers from 1 to
+    3-grams of each word (WIDTH characters at most) with its boundaries: (n, 2 WIDTH + 7) numbers from 1 to
     buckets - 1, 0 where a word has no more."""
-    half = WIDTH // 2
-    cut = [f"^{w}$" if len(w) <= WIDTH else f"^{w[:half]}{w[-half:]}$" for w in words]
-    c = np.array(cut, dtype=f"U{WIDTH + 2}").view(np.uint32).reshape(len(words), WIDTH + 2).astype(np.uint64)
+    c = np.array([f"^{w}$" for w in words], dtype=f"U{WIDTH + 2}").view(np.uint32).reshape(len(words), WIDTH + 2).astype(np.uint64)
     n = (c > 0).sum(1)
 
     def mixed(parts: list[np.ndarray], kind: int) -> np.ndarray:

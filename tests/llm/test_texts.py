@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.llm import htmltext, langid, mixing, pii, toxicity, vectors
+from quarrylens.llm import htmltext, langid, learning, mixing, pii, toxicity, vectors
 
 SYLLABLES = {"en": "th er on an re", "de": "ch sch ung ei zu"}
 
@@ -86,6 +86,19 @@ def test_gru_gradients():
         assert np.isclose((sides[0] - sides[1]) / 2e-5, grad[k][at], atol=1e-7)
 
 
+def test_long_runs_are_read_whole(spark, docs_of):
+    assert learning.letter_words("ab Cd " + "x" * 24) == ["ab", "cd", "x" * 24]
+    run = "".join(np.random.default_rng(2).choice(list("abcdefghij"), 1000))
+    pieces = learning.letter_words(run)
+    assert max(map(len, pieces)) <= learning.WIDTH
+    assert {run[i : i + 8] for i in range(993)} == {p[i : i + 8] for p in pieces for i in range(len(p) - 7)}
+    # the languages differ in the middle of a run only
+    texts = {"aa": "m" * 12 + "pq" * 20 + "m" * 12, "bb": "m" * 12 + "rs" * 20 + "m" * 12}
+    docs = docs_of(*[(i, texts[k], k, "s") for i in range(40) for k in ["aa" if i % 2 else "bb"]])
+    got = {r.lang_pred for r in langid.identify(docs.where("doc_id % 2 = 1"), langid.train(docs)).collect()}
+    assert got == {"aa"} and {r.lang_pred for r in langid.identify(docs.where("doc_id % 2 = 0"), langid.train(docs)).collect()} == {"bb"}
+
+
 def test_toxicity(spark, docs_of):
     rows, labels = [], []
     for i in range(200):
