@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylens.llm import (
-    decontam, htmltext, langid, licenses, linededup, minhash, mixing, pii, toxicity, vectors,
+    convrepair, decontam, htmltext, langid, licenses, linededup, minhash, mixing, pii, runs, shuffle, toxicity, vectors,
 )
 
 
@@ -57,11 +57,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shuffle.shard_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash, op2_licenses, op3_surrogates, op4_main_text, op5_toxicity, op6_mix, op7_language, op8_lines,
-        op9_vectors, op10_decontaminate,
+        op9_vectors, op10_decontaminate, op11_shuffle, op12_runs, op13_repair,
     )
 }
 
