@@ -37,8 +37,22 @@ DATE_FORMAT = (
     r"|^\d{2}[-/]\d{2}[-/]\d{4}$"
 )
 
-# What a date can start like; keeps prose away from the parsers.
-PLAUSIBLE_DATE = r"^(\d{1,4}[-/ ]|\d{8}$|[A-Z][a-z]{2,8} \d)"
+# A text column holds dates where at least this share of its filled cells reads
+# as one; what doesn't read as a date there is malformed.
+DATE_SHARE = 0.9
+
+# What a text has to look like to be tried in some of the layouts (by position
+# in DATE_LAYOUTS). A failed parse is dear, so no cell is tried in more than two.
+PLAUSIBLE_DATE = r"^ *(\d{1,4}[-/]\d|\d{8} *$|\d{1,2} [A-Z]|[A-Z][a-z]{2,8} \d)"
+DATE_SHAPES = (
+    (r"^ *\d{4}-\d{1,2}-\d{1,2}(?!\d)", (0,)),
+    (r"^ *\d{4}/\d{1,2}/\d{1,2}(?!\d)", (1,)),
+    (r"^ *\d{1,2}/\d{1,2}/\d{4}(?!\d)", (2, 3)),
+    (r"^ *\d{1,2}-\d{1,2}-\d{4}(?!\d)", (4, 5)),
+    (r"^ *\d{8} *$", (6,)),
+    (r"^ *\d{1,2} [A-Z]", (7, 8)),
+    (r"^ *[A-Z][a-z]", (9, 10)),
+)
 
 # Values this long or longer are compared by their SHA-256 text, which has
 # exactly this many characters; shorter values are compared as they are. The
@@ -144,19 +158,33 @@ ANY_SLOT = " OR ".join(f"{s} IS NOT NULL" for s in SLOTS)
 
 def parses_as_date(text: str) -> str:
     """True if the text reads as a date in one of the fixed layouts."""
-    attempts = ", ".join(f"try_to_timestamp(trim({text}), {literal(f)})" for f in DATE_LAYOUTS)
-    return (
-        f"CASE WHEN trim({text}) RLIKE r'{PLAUSIBLE_DATE}' "
-        f"THEN coalesce({attempts}) IS NOT NULL ELSE {text} IS NULL END"
+    tried = " ".join(
+        f"WHEN {text} RLIKE r'{shape}' THEN coalesce("
+        + ", ".join(f"try_to_timestamp(trim({text}), {literal(DATE_LAYOUTS[i])})" for i in layouts)
+        + ") IS NOT NULL"
+        for shape, layouts in DATE_SHAPES
     )
+    return f"CASE WHEN {text} RLIKE r'{PLAUSIBLE_DATE}' THEN CASE {tried} ELSE false END ELSE false END"
+
+
+def mostly_dates(date_cells: str, filled: str) -> str:
+    """Does a text column with so many date cells among its filled ones hold dates?"""
+    return f"({filled} > 0 AND {date_cells} >= {DATE_SHARE}D * {filled})"
 
 
 def bad_email(text: str) -> str:
     return f"NOT ({text} RLIKE r'{EMAIL_FORMAT}')"
 
 
-def bad_date(text: str) -> str:
-    return f"CASE WHEN {text} RLIKE r'{DATE_FORMAT}' THEN false ELSE NOT ({parses_as_date(text)}) END"
+# How a cell reads: as a date, as the layout of one only, or as neither.
+READS_AS_DATE, LOOKS_LIKE_DATE, NO_DATE = 2, 1, 0
+
+
+def date_reading(text: str) -> str:
+    return (
+        f"CASE WHEN {text} IS NULL THEN NULL WHEN {parses_as_date(text)} THEN {READS_AS_DATE} "
+        f"WHEN {text} RLIKE r'{DATE_FORMAT}' THEN {LOOKS_LIKE_DATE} ELSE {NO_DATE} END"
+    )
 
 
 def format_rule(name: str, is_datetime: bool) -> str | None:
@@ -169,8 +197,6 @@ def format_rule(name: str, is_datetime: bool) -> str | None:
     return None
 
 
-def violates_format(name: str, dtype: T.DataType, rule: str) -> str:
-    """Violation flag of a value's text; null values never violate."""
-    text = f"to_json({quote(name)})" if isinstance(dtype, COMPLEX) else f"CAST({clean(name, dtype)} AS STRING)"
-    broken = bad_email(text) if rule == "email" else bad_date(text)
-    return f"({text} IS NOT NULL AND {broken})"
+def cell_text(name: str, dtype: T.DataType) -> str:
+    """The text that a format check reads."""
+    return f"to_json({quote(name)})" if isinstance(dtype, COMPLEX) else f"CAST({clean(name, dtype)} AS STRING)"

@@ -65,8 +65,8 @@ def column_facts(
 ) -> DataFrame:
     """One row per column from one ungrouped aggregate per table.
 
-    `rsd` adds approximate distinct counts, `dates` whether every value of a
-    string column reads as a date.
+    `rsd` adds approximate distinct counts, `dates` whether most values of a
+    string column read as dates (`values.DATE_SHARE`).
     """
     parts = []
     for table, columns in columns_by_table(tables).items():
@@ -76,11 +76,11 @@ def column_facts(
             measures = {"filled": f"count({column})"}
             if extremes:
                 measures |= _extremes(field)
+            shown = {}
             if dates:
                 is_text = isinstance(field.dataType, T.StringType)
-                measures["date_like"] = (
-                    f"bool_and({values.parses_as_date(column)})" if is_text else "false"
-                )
+                measures["dated"] = f"count_if({values.parses_as_date(column)})" if is_text else "0L"
+                shown["date_like"] = values.mostly_dates(f"dated_{position}", f"filled_{position}")
             measures["distinct_count"] = (
                 "CAST(NULL AS BIGINT)" if rsd is None else f"approx_count_distinct({column}, {rsd})"
             )
@@ -91,7 +91,10 @@ def column_facts(
                 f"'{values.logical_type(field.dataType)}' AS data_type, "
                 f"{values.literal(field.dataType.simpleString())} AS storage_type, "
                 f"n AS row_count, n - filled_{position} AS null_count, "
-                + ", ".join(f"{m}_{position} AS {m}" for m in measures if m != "filled")
+                + ", ".join(
+                    [f"{m}_{position} AS {m}" for m in measures if m not in ("filled", "dated")]
+                    + [f"{e} AS {m}" for m, e in shown.items()]
+                )
                 + ")"
             )
         parts.append(
@@ -138,8 +141,8 @@ def _first_values(df: DataFrame, column: str, keys: Sequence[str], size: int) ->
 def date_like_columns(
     tables: Tables, order_by: OrderKeys, sample: int
 ) -> DataFrame:
-    """(column_id, date_like) for string columns: do the first values in the
-    given order, a top-k per column, all read as dates?"""
+    """(column_id, date_like) for string columns: do most of the first values in
+    the given order, a top-k per column, read as dates?"""
     ordered = []
     for table, columns in columns_by_table(tables).items():
         for i, f in ((i, f) for i, _, f in columns if isinstance(f.dataType, T.StringType)):
@@ -149,7 +152,7 @@ def date_like_columns(
     if not ordered:
         session = next(iter(tables.values())).sparkSession
         return session.createDataFrame([], "column_id int, date_like boolean")
-    return union_all(ordered).groupBy("column_id").agg(F.bool_and("parses").alias("date_like"))
+    return union_all(ordered).groupBy("column_id").agg(F.expr(f"{values.mostly_dates('count_if(parses)', 'count(1)')} AS date_like"))
 
 
 def _merge(facts: DataFrame, *extras: DataFrame | None) -> DataFrame:

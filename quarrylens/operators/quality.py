@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from quarrylens.functions import values
 from quarrylens.operators import quartiles
@@ -40,29 +40,41 @@ MEASURES = ("row_count", "missing", "outliers", "invalid_formats", "duplicates")
 def missing_and_formats(
     table: str, df: DataFrame, datetime_columns: Iterable[str] = ()
 ) -> DataFrame:
-    """Rows, missing cells and format violations per column, from one aggregate."""
+    """Rows, missing cells and format violations per column, from one aggregate.
+
+    Columns named e-mail or date are held to that format, and so is a text column
+    most of whose cells read as dates (`values.DATE_SHARE`): it is found in the same
+    pass, and its other cells are the violations. `datetime_columns` adds columns.
+    """
     known_dates = set(datetime_columns)
-    aggregates, rows = ["count(1) AS n"], []
+    cells, aggregates, rows = [], ["count(1) AS n"], []
     for position, f in enumerate(df.schema.fields):
-        is_datetime = values.logical_type(f.dataType) == "DATETIME" or f.name in known_dates
-        rule = values.format_rule(f.name, is_datetime)
+        rule = values.format_rule(f.name, f.name in known_dates)
         # Time stamps and dates are well formed by type.
-        if rule == "date" and isinstance(f.dataType, values.TEMPORAL):
+        if isinstance(f.dataType, values.TEMPORAL) and rule == "date":
             rule = None
-        invalid = "0L"
-        if rule is not None:
-            aggregates.append(
-                f"count_if({values.violates_format(f.name, f.dataType, rule)}) AS i{position}"
-            )
+        text, invalid = values.cell_text(f.name, f.dataType), "0L"
+        cells.append(f"{values.clean(f.name, f.dataType)} AS c{position}")
+        aggregates.append(f"count(c{position}) AS n{position}")
+        if rule == "email":
+            aggregates.append(f"count_if({values.bad_email(f'f{position}')}) AS i{position}")
+            cells.append(f"{text} AS f{position}")
             invalid = f"i{position}"
-        aggregates.append(f"count({values.clean(f.name, f.dataType)}) AS n{position}")
+        elif rule == "date" or isinstance(f.dataType, T.StringType):
+            cells.append(f"{values.date_reading(text)} AS f{position}")
+            aggregates += [
+                f"count_if(f{position} = {values.NO_DATE}) AS i{position}",
+                f"count_if(f{position} = {values.READS_AS_DATE}) AS d{position}",
+            ]
+            dated = "true" if rule else values.mostly_dates(f"d{position}", f"n{position}")
+            invalid = f"CASE WHEN {dated} THEN i{position} ELSE 0L END"
         rows.append(
             f"struct({values.literal(table)} AS table_name, {position} AS position, "
             f"{values.literal(f.name)} AS column_name, n AS row_count, "
             f"n - n{position} AS missing, 0L AS outliers, {invalid} AS invalid_formats, "
             "0L AS duplicates)"
         )
-    return df.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
+    return df.selectExpr(*cells).selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _addition(table: str, position: str, **amounts: str) -> list[str]:

@@ -13,15 +13,6 @@ from quarrylens.plans import catalog_queries
 from quarrylens.plans.catalog import CatalogStore
 
 
-def text_dates(profiled: DataFrame) -> dict[str, set[str]]:
-    """Text columns that read as dates, per table: metadata, one entry per column."""
-    found: dict[str, set[str]] = {}
-    dated = profiled.where((F.col("data_type") == "DATETIME") & (F.col("storage_type") == "string"))
-    for row in dated.select("table_name", "column_name").collect():
-        found.setdefault(row["table_name"], set()).add(row["column_name"])
-    return found
-
-
 def complete_columns(profiled: DataFrame) -> dict[str, set[str]]:
     """Columns without nulls, per table: metadata, one entry per column."""
     found: dict[str, set[str]] = {}
@@ -126,9 +117,7 @@ def ingest(
     found = relations.discover_relationships(profiled, tables)
     store.replace_dataset("relationships", dataset, found.withColumn("dataset", owner))
 
-    details = session.cut_lineage(
-        quality.column_details(tables, datetime_columns=text_dates(profiled))
-    )
+    details = session.cut_lineage(quality.column_details(tables))
     store.replace_dataset(
         "quality_metrics", dataset, quality_records(details).withColumn("dataset", owner)
     )

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.operators import quality, quartiles
+from quarrylens.operators import profile, quality, quartiles
 
 
 @pytest.mark.parametrize("size", [64, 512, 4096])
@@ -66,6 +66,28 @@ def test_formats(spark):
     assert got == {"email": 3, "start_date": 1}
 
 
+@pytest.mark.parametrize("dates,wrong", [(90, 10), (89, 0), (100, 0), (0, 0)])
+def test_date_columns_are_found_by_share(spark, dates, wrong):
+    """From nine in ten filled cells on, a text column holds dates and the rest is malformed."""
+    layouts = ("2024-01-05", " 2024/1/5 10:30", "5/1/2024", "31-12-2024", "20240105", "5 Jan 2024", "January 5, 2024", "2024-01-05T10:30:00Z")
+    rows = [(layouts[i % len(layouts)] if i < dates else f"555-010-{i:04d}", None) for i in range(100)] + [(None, None)] * 50
+    df = spark.createDataFrame(rows, "stamp string, note string")
+    got = {r["column_name"]: r["invalid_formats"] for r in quality.missing_and_formats("t", df).collect()}
+    assert got == {"stamp": wrong, "note": 0}
+    kinds = {r["column_name"]: r["data_type"] for r in profile.profile_types({"t": df}).collect()}
+    assert kinds == {"stamp": "DATETIME" if dates >= 90 else "TEXT", "note": "TEXT"}
+    listed = quality.missing_and_formats("t", df, ["stamp"]).where("column_name = 'stamp'").first()
+    assert listed["invalid_formats"] == 100 - dates
+
+
+def test_layouts_of_digits_count_where_dates_are_expected(spark):
+    """99-99-9999 has the layout of a date but isn't one: it passes a date check and
+    doesn't make a column one of dates."""
+    df = spark.createDataFrame([("99-99-9999",)] * 9 + [("x",)], "v string")
+    assert quality.missing_and_formats("t", df).first()["invalid_formats"] == 0
+    assert quality.missing_and_formats("t", df, ["v"]).first()["invalid_formats"] == 1
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "a int, b string")
     details = quality.column_details({"t": df})

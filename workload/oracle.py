@@ -27,6 +27,11 @@ def parses(c: str) -> str:
     )
 
 
+def mostly_dates(c: str) -> str:
+    """At least 0.9 of the filled cells read as dates."""
+    return f"(count({c}) > 0 AND count(*) FILTER (WHERE {c} IS NOT NULL AND {parses(c)}) >= 0.9::DOUBLE * count({c}))"
+
+
 def view_columns(name: str) -> tuple[tuple[str, str], ...]:
     return V.COLUMNS[name]
 
@@ -52,10 +57,7 @@ def facts(tables: dict[str, str]) -> str:
             high_num = f"max({v})::DOUBLE" if k in "id" else "NULL::DOUBLE"
             kind = lit(LOGICAL[k])
             if k == "s":
-                kind = (
-                    f"CASE WHEN (SELECT bool_and({parses(c)}) FROM (SELECT {c} FROM {rel(view)} "
-                    f"WHERE {c} IS NOT NULL)) THEN 'DATETIME' ELSE 'TEXT' END"
-                )
+                kind = f"CASE WHEN {mostly_dates(c)} THEN 'DATETIME' ELSE 'TEXT' END"
             parts.append(
                 f"SELECT {column_id} AS column_id, {lit(table)} AS table_name, {position} AS position, "
                 f"{lit(c)} AS column_name, {kind} AS data_type, count(*) AS row_count, "
@@ -135,18 +137,19 @@ def outlier_count(view: str, c: str, kind: str) -> str:
     )
 
 
-def invalid_count(view: str, table: str, c: str, kind: str, text_dates: dict[str, set[str]]) -> str:
+def invalid_count(c: str, kind: str) -> str:
     if kind == "t":
         return "0"
     if "email" in c:
         return f"count(*) FILTER (WHERE NOT regexp_matches({c}, '^[\\p{{L}}\\p{{N}}_.-]+@[\\p{{L}}\\p{{N}}_.-]+\\.[\\p{{L}}\\p{{N}}_]+$'))"
-    if "date" in c or c in text_dates.get(table, ()):
-        pattern = r"^\d{4}[-/]\d{2}[-/]\d{2}(?:\s\d{2}:\d{2}:\d{2})?$|^\d{2}[-/]\d{2}[-/]\d{4}$"
-        return f"count(*) FILTER (WHERE NOT regexp_matches({c}::VARCHAR, '{pattern}') AND NOT {parses(f'{c}::VARCHAR')})"
-    return "0"
+    pattern = r"^\d{4}[-/]\d{2}[-/]\d{2}(?:\s\d{2}:\d{2}:\d{2})?$|^\d{2}[-/]\d{2}[-/]\d{4}$"
+    wrong = f"count(*) FILTER (WHERE NOT regexp_matches({c}::VARCHAR, '{pattern}') AND NOT {parses(f'{c}::VARCHAR')})"
+    if "date" in c:
+        return wrong
+    return f"CASE WHEN {mostly_dates(c)} THEN {wrong} ELSE 0 END" if kind == "s" else "0"
 
 
-def details(tables: dict[str, str], text_dates: dict[str, set[str]]) -> str:
+def details(tables: dict[str, str]) -> str:
     parts = []
     for table, view in tables.items():
         names = ", ".join(cell(c, k) + f" AS {c}" for c, k in view_columns(view))
@@ -158,7 +161,7 @@ def details(tables: dict[str, str], text_dates: dict[str, set[str]]) -> str:
                 f"SELECT {lit(table)} AS table_name, {position} AS position, {lit(c)} AS column_name, "
                 f"count(*) AS row_count, count(*) - count({cell(c, k)}) AS missing, "
                 f"{outlier_count(view, c, k) if k in 'id' else '0'} AS outliers, "
-                f"{invalid_count(view, table, c, k, text_dates)} AS invalid_formats, "
+                f"{invalid_count(c, k)} AS invalid_formats, "
                 f"{dup if position == 0 else '0'} AS duplicates FROM {rel(view)}"
             )
     return (
@@ -208,8 +211,8 @@ def advice(details_sql: str) -> str:
 
 QUALITY = {v: v for v in Q.QUALITY_VIEWS}
 QUALITY_EMPTY = {**QUALITY, "empty_orders": "empty_orders"}
-QUALITY_DETAILS = details(QUALITY, Q.TEXT_DATES)
-QUALITY_EMPTY_DETAILS = details(QUALITY_EMPTY, Q.TEXT_DATES)
+QUALITY_DETAILS = details(QUALITY)
+QUALITY_EMPTY_DETAILS = details(QUALITY_EMPTY)
 
 
 def orphans() -> str:
@@ -336,13 +339,10 @@ def catalog_tables(*datasets: str) -> str:
     return union(parts)
 
 
-CATALOG_TEXT_DATES = {"events": {"logged_at"}}
-
-
 def catalog_quality(*datasets: str) -> str:
     parts = []
     for d in datasets or tuple(V.DATASETS):
-        parts.append(f"(SELECT {lit(d)} AS dataset, * FROM ({scores(details(V.DATASETS[d], CATALOG_TEXT_DATES))}))")
+        parts.append(f"(SELECT {lit(d)} AS dataset, * FROM ({scores(details(V.DATASETS[d]))}))")
     return union(parts)
 
 
@@ -487,7 +487,7 @@ def contexts() -> str:
 
 
 def build() -> dict[str, str]:
-    events_details = details({"dirty_events": "dirty_events"}, Q.TEXT_DATES)
+    events_details = details({"dirty_events": "dirty_events"})
     dataset_rows = union(
         [
             f"SELECT {lit(d)} AS dataset, " + " + ".join(f"(SELECT count(*) FROM {rel(v)})" for v in V.DATASETS[d].values()) + " AS row_count"
@@ -556,7 +556,7 @@ def build() -> dict[str, str]:
         "quality_column_details": f"SELECT table_name, column_name, missing, missing_percentage, outliers, invalid_formats FROM ({QUALITY_DETAILS})",
         "health_score": scores(QUALITY_EMPTY_DETAILS),
         "health_score_empty": f"""SELECT s.*, CASE WHEN row_count = 0 THEN {lit(quality.EMPTY_TABLE_TEXT)} END AS recommendation
-            FROM ({scores(details({v: v for v in ('empty_orders', 'dirty_customer')}, {}))}) s""",
+            FROM ({scores(details({v: v for v in ('empty_orders', 'dirty_customer')}))}) s""",
         "quality_recommendations": advice(QUALITY_EMPTY_DETAILS),
         "orphan_records": orphans(),
         "dataset_health": f"SELECT coalesce(round(avg(health_score), 1), 100.0::DOUBLE) AS health_score FROM ({scores(QUALITY_DETAILS)})",
@@ -590,11 +590,11 @@ def build() -> dict[str, str]:
         "list_relationships": f"SELECT * EXCLUDE (dataset) FROM ({rels_of('shop')})",
         "list_quality": union(
             [
-                f"""(SELECT {lit(d)} AS dataset, s.*, x.details, y.recommendations FROM ({scores(details(V.DATASETS[d], CATALOG_TEXT_DATES))}) s
+                f"""(SELECT {lit(d)} AS dataset, s.*, x.details, y.recommendations FROM ({scores(details(V.DATASETS[d]))}) s
                 JOIN (SELECT table_name, string_agg(concat_ws(':', column_name, missing, outliers, invalid_formats), ' ' ORDER BY position) AS details
-                  FROM ({details(V.DATASETS[d], CATALOG_TEXT_DATES)}) GROUP BY table_name) x USING (table_name)
+                  FROM ({details(V.DATASETS[d])}) GROUP BY table_name) x USING (table_name)
                 JOIN (SELECT table_name, string_agg(recommendation, ' / ' ORDER BY seq) AS recommendations
-                  FROM ({advice(details(V.DATASETS[d], CATALOG_TEXT_DATES))}) GROUP BY table_name) y USING (table_name))"""
+                  FROM ({advice(details(V.DATASETS[d]))}) GROUP BY table_name) y USING (table_name))"""
                 for d in ("shop", "activity")
             ]
         ),

@@ -31,7 +31,6 @@ FOREIGN_KEYS = (
     ("nation", "n_nationkey", "partial_customer", "c_nationkey"),
 )
 QUALITY_VIEWS = ("dirty_customer", "dirty_events", "customer", "orders", "lineitem", "documents", "embeddings")
-TEXT_DATES = {"dirty_events": {"logged_at"}}
 BLANK_EVERY = 3
 
 
@@ -397,7 +396,7 @@ def response_audit(spark, sf_dir):
 
 def _details(spark: SparkSession, sf_dir: str, *names: str, method: str = "auto") -> DataFrame:
     return quality.column_details(
-        V.views(spark, sf_dir, *names), datetime_columns=TEXT_DATES, outlier_method=method
+        V.views(spark, sf_dir, *names), outlier_method=method
     )
 
 
@@ -443,9 +442,7 @@ def quality_outliers_large(spark, sf_dir):
 
 
 def _formats(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    facts = quality.missing_and_formats(
-        "dirty_events", V.view(spark, sf_dir, "dirty_events"), TEXT_DATES["dirty_events"]
-    )
+    facts = quality.missing_and_formats("dirty_events", V.view(spark, sf_dir, "dirty_events"))
     return facts.where(F.col("column_name").isin(*columns)).select("column_name", "invalid_formats")
 
 
