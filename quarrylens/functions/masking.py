@@ -26,6 +26,7 @@ WHITE_SPACE = (
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
+WHOLLY_MASKED = "[MASKED_PII_DATA]"
 PII_LABEL = "Sensitive PII (Masked)"
 NON_PII_LABEL = "Non-PII (Standard)"
 
@@ -75,7 +76,7 @@ def masked(value: Column, name: str) -> Column:
     elif "salary" in lowered or "income" in lowered or "tax" in lowered:
         hidden = F.lit("$XX,XXX")
     else:
-        hidden = F.lit("[MASKED_PII_DATA]")
+        hidden = F.lit(WHOLLY_MASKED)
     return F.when(text.isNull() | (text == ""), text).otherwise(hidden)
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quarrylens.functions import masking, questions
+from quarrylens.functions import masking, questions, values
+from quarrylens.operators import lineage
 from quarrylens.operators.profile import Tables
 
 MAX_ROWS = 50
@@ -78,6 +80,32 @@ def view_name(table: str) -> str:
     return re.sub(r"[^a-zA-Z0-9_]", "_", table)
 
 
+@contextmanager
+def _views(spark: SparkSession, tables: Tables) -> Iterator[None]:
+    """The tables as temporary views, each under its cleaned and its own name; views
+    of the caller under these names are back afterwards."""
+    names: dict[str, str] = {}
+    for table in tables:
+        clean = view_name(table)
+        if names.setdefault(clean.lower(), table) != table:
+            raise ValueError(f"tables {names[clean.lower()]} and {table} have one name once cleaned: {clean}")
+    before, made = {}, []
+    try:
+        for table, df in tables.items():
+            for name in dict.fromkeys((view_name(table), table)):
+                own = values.quote(name)
+                if any(t.name == name.lower() for t in spark.catalog.listTables(pattern=view_name(name)) if t.isTemporary):
+                    before[own] = spark.table(own)
+                df.createOrReplaceTempView(own)
+                made.append(own)
+        yield
+    finally:
+        for own in made:
+            spark.sql(f"DROP VIEW IF EXISTS {own}")
+        for own, df in before.items():
+            df.createOrReplaceTempView(own)
+
+
 def governed_query(
     spark: SparkSession,
     sql: str,
@@ -87,24 +115,35 @@ def governed_query(
     mask_parts: Sequence[str] = masking.RESULT_NAME_PARTS,
     strict: bool = False,
 ) -> DataFrame:
-    """Run one SELECT over the given tables; the result is row-limited and masked.
+    """Run one query over the given tables; the result is row-limited and masked.
 
-    Tables are visible under their cleaned names and, in the text, under their
-    own quoted names. With `strict=True` personal-data columns are masked in
-    the sources, so that an alias cannot uncover them.
+    Tables are visible under their cleaned names and, in backticks, under their
+    own; the text is run as it is. Only queries over these tables with Spark's own
+    functions run: commands, other tables, files read by path and functions that run
+    code are refused (`lineage.QueryRefused`). A result column is masked if its name
+    says personal data, or the name of any source column it is derived from, whatever
+    alias, subquery or union lies between; a value computed from such columns shows
+    nothing at all, and counts stay. With `strict=True` personal-data columns are
+    masked in the sources, so that filters don't see them either.
     """
     text = sql.strip().rstrip(";")
-    if not re.match(r"(?is)^(\s|--[^\n]*\n|/\*.*?\*/)*(select|with|values|from)\b", text):
-        raise ValueError("only queries are allowed")
-    for table, df in tables.items():
-        clean = view_name(table)
-        if clean != table:
-            text = re.sub(rf'[`"\[]{re.escape(table)}[`"\]]|(?<!\w){re.escape(table)}(?!\w)', clean, text)
-        source = masking.mask_columns(df, masking.PII_NAME_PARTS) if strict else df
-        source.createOrReplaceTempView(clean)
-    try:
+    if strict:
+        tables = {t: masking.mask_columns(df, masking.PII_NAME_PARTS) for t, df in tables.items()}
+    allowed = {name for t in tables for name in (t, view_name(t))}
+    lineage.check_parsed(spark, text, allowed)
+    with _views(spark, tables):
         result = spark.sql(text)
-    finally:
-        for table in tables:
-            spark.catalog.dropTempView(view_name(table))
-    return masking.mask_columns(result.limit(max_rows), mask_parts)
+        lineage.check_resolved(result, allowed)
+    places = [f"c{i}" for i in range(len(result.columns))]
+    shown = []
+    for place, name, derived in zip(places, result.columns, lineage.source_columns(result)):
+        sensitive = [n for n in sorted(derived.names) if any(p in n.lower() for p in mask_parts)]
+        column = F.col(place)
+        if sensitive and not derived.unchanged:
+            column = F.when(column.isNotNull(), masking.WHOLLY_MASKED)
+        elif sensitive:
+            column = masking.masked(column, sensitive[0])
+        elif any(p in name.lower() for p in mask_parts):
+            column = masking.masked(column, name)
+        shown.append(column.alias(name))
+    return result.limit(max_rows).toDF(*places).select(*shown)

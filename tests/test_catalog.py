@@ -118,7 +118,7 @@ def test_governed_query(spark):
     got = sqlgov.governed_query(spark, "-- all\nSELECT * FROM `my-people` ORDER BY id LIMIT 500;", {"my-people": people}).collect()
     assert len(got) == 50 and got[12]["email"] == "u**@x.org" and got[0]["mobile_no"] == "****-****-0101"
     alias = "SELECT email AS e FROM people WHERE id = 3"
-    assert sqlgov.governed_query(spark, alias, {"people": people}).first()["e"] == "u3@x.org"
+    assert sqlgov.governed_query(spark, alias, {"people": people}).first()["e"] == "u*@x.org"
     assert sqlgov.governed_query(spark, alias, {"people": people}, strict=True).first()["e"] != "u3@x.org"
     assert not spark.catalog.tableExists("people")
     with pytest.raises(ValueError):
