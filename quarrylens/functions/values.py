@@ -153,6 +153,101 @@ def slot_values(name: str, dtype: T.DataType, whole_text: bool = False) -> list[
     return [value if s == slot else f"CAST(NULL AS {t})" for s, t in SLOTS.items()]
 
 
+# Forms in which the keys of two columns can be compared. A form with a colon
+# carries the scale or the type it stands for.
+INT, WHOLE, EXACT, DOUBLE, DECIMAL, DATE, TIME, LOCAL_TIME, BOOL, TEXT, BINARY, NESTED = (
+    "int", "whole", "exact", "double", "decimal", "date", "time", "local_time", "bool", "text", "binary", "nested",
+)
+MOST_DIGITS = 38
+
+
+def common_form(a: T.DataType, b: T.DataType) -> str | None:
+    """The form in which values of both types are equal if and only if Spark or
+    plain arithmetic holds them for equal; None where no value of one can equal
+    one of the other."""
+
+    def either(*kinds: type) -> bool:
+        return isinstance(a, kinds) or isinstance(b, kinds)
+
+    def both(*kinds: type) -> bool:
+        return isinstance(a, kinds) and isinstance(b, kinds)
+
+    if both(*INTEGRAL):
+        return INT
+    if both(T.DecimalType):
+        scale = max(a.scale, b.scale)
+        whole = max(a.precision - a.scale, b.precision - b.scale)
+        # wider than any decimal: compared without the zeros at the end
+        return f"{DECIMAL}:{scale}" if whole + scale <= MOST_DIGITS else EXACT
+    if both(*NUMERIC):
+        if either(*FRACTIONAL):
+            return WHOLE if either(*INTEGRAL) else DOUBLE
+        return EXACT
+    if both(T.DateType):
+        return DATE
+    if both(T.TimestampNTZType):
+        return LOCAL_TIME
+    if both(*TEMPORAL):
+        return TIME
+    for kind, form in ((T.BooleanType, BOOL), (T.BinaryType, BINARY)):
+        if both(kind):
+            return form
+    texts = (T.StringType, T.VarcharType, T.CharType)
+    if both(*texts):
+        return TEXT
+    if both(*COMPLEX) and a.simpleString() == b.simpleString():
+        return f"{NESTED}:{a.simpleString()}"
+    return None
+
+
+def form_values(name: str, dtype: T.DataType, form: str, whole_text: bool = False) -> list[str]:
+    """The value of a column in a form, spread over the slots; one slot is used at most."""
+    column, slots = clean(name, dtype), dict.fromkeys(SLOTS)
+    kind, _, detail = form.partition(":")
+    if kind == INT:
+        slots["v_int"] = f"CAST({column} AS BIGINT)"
+    elif kind == WHOLE and isinstance(dtype, FRACTIONAL):
+        # 2^63 is the first double beyond the whole numbers
+        number = f"CAST({column} AS DOUBLE)"
+        fits = f"{number} = floor({number}) AND {number} >= -9223372036854775808D AND {number} < 9223372036854775808D"
+        slots["v_int"] = f"CASE WHEN {fits} THEN try_cast({number} AS BIGINT) END"
+        slots["v_num"] = f"CASE WHEN NOT ({fits}) THEN {number} END"
+    elif kind in (WHOLE, EXACT) and isinstance(dtype, INTEGRAL):
+        slots["v_int" if kind == WHOLE else "v_text"] = f"CAST({column} AS {'BIGINT' if kind == WHOLE else 'STRING'})"
+    elif kind == EXACT:
+        digits = f"CAST({column} AS STRING)"
+        slots["v_text"] = f"CASE WHEN contains({digits}, '.') THEN trim(TRAILING '.' FROM trim(TRAILING '0' FROM {digits})) ELSE {digits} END"
+    elif kind == DOUBLE:
+        slots["v_num"] = f"(CAST({column} AS DOUBLE) + 0D)"
+    elif kind == DECIMAL:
+        slots["v_text"] = f"CAST(CAST({column} AS DECIMAL({MOST_DIGITS}, {detail})) AS STRING)"
+    elif kind == DATE:
+        slots["v_int"] = f"CAST(unix_date({column}) AS BIGINT)"
+    elif kind == TIME:
+        slots["v_int"] = f"unix_micros(CAST({column} AS TIMESTAMP))"
+    elif kind == LOCAL_TIME:
+        slots["v_ts"] = column
+    elif kind == BOOL:
+        slots["v_int"] = f"CAST({column} AS BIGINT)"
+    elif kind == TEXT and whole_text:
+        slots["v_text"] = f"CAST({column} AS STRING)"
+    else:
+        slots["v_text"] = equality_key(name, dtype)
+    return [slots[s] or f"CAST(NULL AS {t})" for s, t in SLOTS.items()]
+
+
+def shown_key(form: str) -> str:
+    """A key in a form as text, from its slots."""
+    kind = form.partition(":")[0]
+    if kind == DATE:
+        return "CAST(date_from_unix_date(CAST(v_int AS INT)) AS STRING)"
+    if kind == TIME:
+        return "CAST(timestamp_micros(v_int) AS STRING)"
+    if kind == BOOL:
+        return "CAST(CAST(v_int AS BOOLEAN) AS STRING)"
+    return f"coalesce({', '.join(f'CAST({s} AS STRING)' for s in SLOTS)})"
+
+
 ANY_SLOT = " OR ".join(f"{s} IS NOT NULL" for s in SLOTS)
 
 

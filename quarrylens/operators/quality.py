@@ -246,22 +246,26 @@ def orphan_records(
     column). Both sides meet in one grouped shuffle on (relationship, key),
     summed on the map side first: a key that holds a third of the child rows
     costs one row per task. Only relationships with orphans are reported.
+
+    Keys of different types meet in the form their types have in common
+    (`values.common_form`): decimals of any scale, decimals with doubles, whole
+    doubles with whole numbers, dates with time stamps. Others are refused.
     """
-    sides = []
+    sides, forms = [], []
     for number, (parent, parent_key, child, child_key) in enumerate(relationships):
-        kinds = [
-            values.logical_type(tables[t].schema[k].dataType)
-            for t, k in ((parent, parent_key), (child, child_key))
-        ]
-        if kinds[0] != kinds[1]:
+        types = [tables[t].schema[k].dataType for t, k in ((parent, parent_key), (child, child_key))]
+        form = values.common_form(*types)
+        if form is None:
             raise TypeError(
-                f"{parent}.{parent_key} and {child}.{child_key} differ in type: {kinds}"
+                f"{parent}.{parent_key} and {child}.{child_key} have no type in common: "
+                + ", ".join(t.simpleString() for t in types)
             )
+        forms.append(form)
         for table, key, is_parent in ((parent, parent_key, True), (child, child_key, False)):
             dtype = tables[table].schema[key].dataType
             slots = [
                 f"{c} AS {s}"
-                for c, s in zip(values.slot_values(key, dtype, whole_text=True), values.SLOTS)
+                for c, s in zip(values.form_values(key, dtype, form, whole_text=True), values.SLOTS)
             ]
             sides.append(
                 tables[table]
@@ -284,7 +288,13 @@ def orphan_records(
         F.sum(F.when(lost, F.col("child_rows")).otherwise(0)).alias("orphan_count"),
         F.bool_or("in_parent").alias("has_parent"),
     )
-    rank = F.row_number().over(W.partitionBy("rel").orderBy(*values.SLOTS))
+    numeric = (values.WHOLE, values.EXACT, values.DECIMAL)
+    by_number = [n for n, form in enumerate(forms) if form.partition(":")[0] in numeric]
+    number = F.when(
+        F.col("rel").isin(by_number), F.coalesce(F.col("v_int").cast("double"), "v_num", F.col("v_text").try_cast("double"))
+    )
+    rank = F.row_number().over(W.partitionBy("rel").orderBy(number, *values.SLOTS))
+    shown = "CASE rel " + " ".join(f"WHEN {n} THEN {values.shown_key(f)}" for n, f in enumerate(forms)) + " END"
     first = (
         # Same columns as the totals above, so that both share one shuffle.
         keys.where(lost & (F.col("child_rows") > 0))
@@ -294,10 +304,7 @@ def orphan_records(
         .agg(
             F.array_sort(
                 F.collect_list(
-                    F.struct(
-                        "rank",
-                        F.coalesce(*[F.col(s).cast("string") for s in values.SLOTS]).alias("key"),
-                    )
+                    F.struct("rank", F.expr(shown).alias("key"))
                 )
             ).alias("sample")
         )

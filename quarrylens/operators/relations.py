@@ -94,34 +94,43 @@ def name_matched_pairs(candidates: DataFrame, prefix: str = NAME_PREFIX) -> Data
 def value_overlap(tables: Tables, pairs: DataFrame) -> DataFrame:
     """(a_id, b_id, a_distinct, b_distinct, shared, overlap) for every pair.
 
-    Each value is shuffled once per column, however many pairs the column is
-    in: values are grouped with a bit set of the columns that hold them, and
-    pairs are read off the small histogram of bit sets.
+    Each value is shuffled once per column and form, however many pairs the
+    column is in: values are grouped with a bit set of the columns that hold them,
+    and pairs are read off the small histogram of bit sets. A pair is compared in the
+    form its types have in common (`values.common_form`), so most columns have one
+    form; a pair without any shares nothing.
     """
     spark = pairs.sparkSession
-    wanted = pairs.select("a.id", "a.table_name", "a.column_name").union(
-        pairs.select("b.id", "b.table_name", "b.column_name")
-    )
-    # Metadata: at most one row per catalog column.
-    columns = sorted(
-        (r["id"], r["table_name"], r["column_name"]) for r in wanted.distinct().collect()
-    )
+    # Metadata: one row per pair of key-like columns.
+    listed = pairs.select(
+        *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("id", "table_name", "column_name")]
+    ).distinct().collect()
+    columns: dict[tuple[int, str], tuple[str, str]] = {}
+    forms = []
+    for r in sorted(listed):
+        named = {r[f"{side}_id"]: (r[f"{side}_table_name"], r[f"{side}_column_name"]) for side in "ab"}
+        types = {i: tables[t].schema[c].dataType for i, (t, c) in named.items()}
+        common = values.common_form(types[r["a_id"]], types[r["b_id"]])
+        own = {i: common or values.common_form(t, t) for i, t in types.items()}
+        forms.append((r["a_id"], r["b_id"], own[r["a_id"]], own[r["b_id"]], common is not None))
+        columns |= {(i, own[i]): named[i] for i in named}
     if not columns:
         return spark.createDataFrame(
             [], "a_id int, b_id int, a_distinct bigint, b_distinct bigint, shared bigint, overlap double"
         )
     words = [f"w{i}" for i in range(-(-len(columns) // WORD_BITS))]
-    place = {column_id: divmod(n, WORD_BITS) for n, (column_id, _, _) in enumerate(columns)}
+    entry = {key: n for n, key in enumerate(sorted(columns))}
+    place = {n: divmod(n, WORD_BITS) for n in entry.values()}
 
     cells_by_table: dict[str, list[str]] = {}
-    for column_id, table, column in columns:
-        word, bit = place[column_id]
+    for (column_id, form), (table, column) in sorted(columns.items()):
+        word, bit = place[entry[column_id, form]]
         masks = [f"{1 << bit if w == word else 0}L" for w in range(len(words))]
         dtype = tables[table].schema[column].dataType
         cells_by_table.setdefault(table, []).append(
-            ", ".join(masks + values.slot_values(column, dtype))
+            ", ".join([*masks, values.literal(form), *values.form_values(column, dtype, form)])
         )
-    names = ", ".join([*words, *values.SLOTS])
+    names = ", ".join([*words, "form", *values.SLOTS])
     holders = union_all(
         [
             tables[t].selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS ({names})")
@@ -129,36 +138,39 @@ def value_overlap(tables: Tables, pairs: DataFrame) -> DataFrame:
         ]
     ).where(values.ANY_SLOT)
     histogram = (
-        holders.groupBy(*values.SLOTS)
+        holders.groupBy("form", *values.SLOTS)
         .agg(*[F.bit_or(w).alias(w) for w in words])
         .groupBy(*words)
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
     flags = ", ".join(
-        f"CASE WHEN {words[word]} & {1 << bit}L <> 0 THEN {column_id} END"
-        for column_id, (word, bit) in place.items()
+        f"CASE WHEN {words[word]} & {1 << bit}L <> 0 THEN {n} END"
+        for n, (word, bit) in place.items()
     )
     held = histogram.selectExpr("n", f"array_compact(array({flags})) AS members")
     single = held.select(F.explode("members").alias("id"), "n").groupBy("id").agg(
         F.sum("n").alias("distinct")
     )
-    by_left = pairs.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    by_left = spark.createDataFrame(
+        [(a, b, entry[a, f], entry[b, g], comparable) for a, b, f, g, comparable in forms],
+        "a_id int, b_id int, a_entry int, b_entry int, comparable boolean",
+    )
     shared = (
         held.where(F.size("members") > 1)
-        .select(F.explode("members").alias("a_id"), "members", "n")
-        .join(by_left, "a_id")
-        .where(F.array_contains("members", F.col("b_id")))
+        .select(F.explode("members").alias("a_entry"), "members", "n")
+        .join(by_left.where("comparable"), "a_entry")
+        .where(F.array_contains("members", F.col("b_entry")))
         .groupBy("a_id", "b_id")
         .agg(F.sum("n").alias("shared"))
     )
-    a_count = single.select(F.col("id").alias("a_id"), F.col("distinct").alias("a_distinct"))
-    b_count = single.select(F.col("id").alias("b_id"), F.col("distinct").alias("b_distinct"))
+    a_count = single.select(F.col("id").alias("a_entry"), F.col("distinct").alias("a_distinct"))
+    b_count = single.select(F.col("id").alias("b_entry"), F.col("distinct").alias("b_distinct"))
     smaller = F.least("a_distinct", "b_distinct")
     zero = F.lit(0).cast("bigint")
     return (
-        by_left.join(a_count, "a_id", "left")
-        .join(b_count, "b_id", "left")
+        by_left.join(a_count, "a_entry", "left")
+        .join(b_count, "b_entry", "left")
         .join(shared, ["a_id", "b_id"], "left")
         .select(
             "a_id",

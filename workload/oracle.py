@@ -232,6 +232,50 @@ def orphans() -> str:
     )
 
 
+def orphans_typed() -> str:
+    """The pairs of keys of different types, each side cast to the type both have in common."""
+    casts = {  # pair: (common type, text of a key)
+        ("c_custkey", "buyer_key"): ("BIGINT", "{}::VARCHAR"),
+        ("archive", "ledger", "total_key"): ("DECIMAL(18, 4)", "{}::VARCHAR"),
+        ("archive", "invoices", "total_key"): ("DOUBLE", "{}::VARCHAR"),
+        ("invoices", "ledger", "total_key"): ("DOUBLE", "{}::VARCHAR"),
+        ("archive", "ledger", "day_key"): ("TIMESTAMP", "strftime({}, '%Y-%m-%d %H:%M:%S')"),
+    }
+    parts = []
+    for p, pk, c, ck in Q.TYPED_KEYS:
+        kind, shown = casts.get((p, c, ck)) or casts[pk, ck]
+        parent = f"SELECT {pk}::{kind} AS k FROM {rel(p)} WHERE {pk} IS NOT NULL"
+        parts.append(
+            f"SELECT {lit(p)} AS parent_table, {lit(pk)} AS parent_column, {lit(c)} AS child_table, {lit(ck)} AS child_column, "
+            f"count(k) AS child_count, count(k) FILTER (WHERE k NOT IN ({parent})) AS orphan_count, "
+            f"(SELECT string_agg({shown.format('k')}, ',' ORDER BY k) FROM (SELECT DISTINCT {ck}::{kind} AS k FROM {rel(c)} "
+            f"WHERE {ck}::{kind} NOT IN ({parent}) ORDER BY k LIMIT 5)) AS sample_orphans FROM (SELECT {ck}::{kind} AS k FROM {rel(c)})"
+        )
+    return (
+        "SELECT *, round(orphan_count / child_count * 100, 2) AS orphan_percentage "
+        f"FROM ({union(parts)}) WHERE orphan_count > 0"
+    )
+
+
+def overlaps_typed() -> str:
+    pairs = (
+        ("ledger", "archive", "total_key", "DECIMAL(18, 4)"), ("ledger", "archive", "day_key", "TIMESTAMP"),
+        ("ledger", "invoices", "total_key", "DOUBLE"), ("archive", "invoices", "total_key", "DOUBLE"),
+    )
+    parts = []
+    for a, b, c, kind in pairs:
+        left, right = (f"SELECT DISTINCT {c}::{kind} AS v FROM {rel(t)} WHERE {c} IS NOT NULL" for t in (a, b))
+        parts.append(
+            f"SELECT {lit(a)} AS table_1, {lit(c)} AS column_1, {lit(b)} AS table_2, {lit(c)} AS column_2, "
+            f"(SELECT count(*) FROM ({left})) AS a_distinct, (SELECT count(*) FROM ({right})) AS b_distinct, "
+            f"(SELECT count(*) FROM ({left} INTERSECT {right})) AS shared"
+        )
+    return (
+        "SELECT *, CASE WHEN least(a_distinct, b_distinct) > 0 THEN shared / least(a_distinct, b_distinct) ELSE 0.0::DOUBLE END AS overlap "
+        f"FROM ({union(parts)})"
+    )
+
+
 # --- relationships ---------------------------------------------------------
 
 CANDIDATES = """SELECT * FROM (SELECT *, uniqueness_ratio > 0.9 AND null_count = 0 AS is_pk FROM prof)
@@ -559,12 +603,14 @@ def build() -> dict[str, str]:
             FROM ({scores(details({v: v for v in ('empty_orders', 'dirty_customer')}))}) s""",
         "quality_recommendations": advice(QUALITY_EMPTY_DETAILS),
         "orphan_records": orphans(),
+        "orphan_records_typed": orphans_typed(),
         "dataset_health": f"SELECT coalesce(round(avg(health_score), 1), 100.0::DOUBLE) AS health_score FROM ({scores(QUALITY_DETAILS)})",
         "health_band": f"SELECT table_name, CASE WHEN health_score < 70 THEN 'red' WHEN health_score < 90 THEN 'yellow' ELSE 'green' END AS band FROM ({scores(QUALITY_EMPTY_DETAILS)})",
         "top_recommendations": f"SELECT table_name, recommendation FROM ({advice(QUALITY_DETAILS)}) WHERE NOT contains(recommendation, 'No critical issues') ORDER BY table_name, seq LIMIT 5",
         "key_candidates": f"WITH prof AS ({profile(ALL)}) SELECT table_name, column_name, data_type, distinct_count, is_pk FROM ({CANDIDATES})",
         "name_matched_pairs": f"WITH prof AS ({profile(ALL)}), cand AS ({CANDIDATES}), pairs AS ({PAIRS}) SELECT {PAIR_OUT}, same_name FROM pairs",
         "value_overlap": f"WITH {RELATIONS} SELECT {PAIR_OUT}, a_distinct, b_distinct, shared, overlap FROM over",
+        "value_overlap_typed": overlaps_typed(),
         "relationship_confidence": f"WITH {RELATIONS} SELECT {PAIR_OUT}, round(confidence, 2) AS confidence FROM kept",
         "relationship_cardinality": f"""WITH {RELATIONS} SELECT CASE WHEN flip THEN t2 ELSE t1 END AS table_1, CASE WHEN flip THEN c2 ELSE c1 END AS column_1,
             CASE WHEN flip THEN t1 ELSE t2 END AS table_2, CASE WHEN flip THEN c1 ELSE c2 END AS column_2, type,

@@ -30,6 +30,15 @@ FOREIGN_KEYS = (
     ("region", "r_regionkey", "nation", "n_regionkey"),
     ("nation", "n_nationkey", "partial_customer", "c_nationkey"),
 )
+# keys of different types: whole doubles, decimals of two scales, days and time stamps
+TYPED_KEYS = (
+    ("partial_customer", "c_custkey", "ledger", "buyer_key"),
+    ("archive", "total_key", "ledger", "total_key"),
+    ("archive", "total_key", "invoices", "total_key"),
+    ("invoices", "total_key", "ledger", "total_key"),
+    ("archive", "day_key", "ledger", "day_key"),
+)
+TYPED_VIEWS = ("ledger", "archive", "invoices")
 QUALITY_VIEWS = ("dirty_customer", "dirty_events", "customer", "orders", "lineitem", "documents", "embeddings")
 BLANK_EVERY = 3
 
@@ -489,6 +498,13 @@ def orphan_records(spark, sf_dir):
     return found.withColumn("sample_orphans", F.array_join("sample_orphans", ","))
 
 
+@query("orphan_records_typed")
+def orphan_records_typed(spark, sf_dir):
+    names = {n for r in TYPED_KEYS for n in (r[0], r[2])}
+    found = quality.orphan_records(V.views(spark, sf_dir, *sorted(names)), TYPED_KEYS)
+    return found.withColumn("sample_orphans", F.array_join("sample_orphans", ","))
+
+
 @query("dataset_health")
 def dataset_health(spark, sf_dir):
     return quality.dataset_health(quality.health_scores(_details(spark, sf_dir, *QUALITY_VIEWS)))
@@ -547,6 +563,17 @@ def value_overlap(spark, sf_dir):
     ).select(*_pair_names(), "a_distinct", "b_distinct", "shared", "overlap")
 
 
+@query("value_overlap_typed")
+def value_overlap_typed(spark, sf_dir):
+    tables = V.views(spark, sf_dir, *TYPED_VIEWS)
+    pairs = relations.name_matched_pairs(relations.key_candidates(profile.profile_columns(tables)))
+    pairs = session.cut_lineage(pairs)
+    overlap = relations.value_overlap(tables, pairs)
+    return pairs.join(
+        overlap, (F.col("a.id") == F.col("a_id")) & (F.col("b.id") == F.col("b_id"))
+    ).select(*_pair_names(), "a_distinct", "b_distinct", "shared", "overlap")
+
+
 @query("relationship_confidence")
 def relationship_confidence(spark, sf_dir):
     scored = relations.scored_pairs(_pairs(spark, sf_dir), _overlap(spark, sf_dir))

@@ -212,6 +212,15 @@ _BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "o_custkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_custkey"))
     ),
     "empty_orders": lambda s, d: read(s, d, "orders").where(F.col("o_orderkey") < 0),
+    # the same keys in other types
+    "ledger": lambda s, d: read(s, d, "orders").selectExpr(
+        "o_orderkey AS entry_id", "CAST(o_custkey AS DOUBLE) AS buyer_key", "CAST(o_totalprice AS DECIMAL(12, 2)) AS total_key",
+        "CAST(o_orderdate AS DATE) AS day_key",
+    ),
+    "archive": lambda s, d: read(s, d, "orders").where("o_orderkey % 5 <> 0 AND month(o_orderdate) <> 3").selectExpr(
+        "o_custkey AS buyer_key", "CAST(o_totalprice AS DECIMAL(18, 4)) AS total_key", "o_orderdate AS day_key"
+    ),
+    "invoices": lambda s, d: read(s, d, "orders").where("o_orderkey % 7 <> 0").selectExpr("o_totalprice AS total_key"),
     "question_log": _question_log,
     "sql_log": _sql_log,
     "error_log": _error_log,
@@ -276,6 +285,13 @@ VIEW_SQL: dict[str, str] = {
         SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS o_custkey,
                o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders""",
     "empty_orders": "SELECT * FROM orders WHERE o_orderkey < 0",
+    "ledger": """
+        SELECT o_orderkey AS entry_id, o_custkey::DOUBLE AS buyer_key, o_totalprice::DECIMAL(12, 2) AS total_key,
+               o_orderdate::DATE AS day_key FROM orders""",
+    "archive": """
+        SELECT o_custkey AS buyer_key, o_totalprice::DECIMAL(18, 4) AS total_key, o_orderdate AS day_key
+        FROM orders WHERE o_orderkey % 5 <> 0 AND month(o_orderdate) <> 3""",
+    "invoices": "SELECT o_totalprice AS total_key FROM orders WHERE o_orderkey % 7 <> 0",
     "question_log": f"""
         SELECT event_id, replace({_pick(QUESTION_TEMPLATES)}, '%s', event_type) AS question,
                {_pick(ANSWERS)} AS answer,
