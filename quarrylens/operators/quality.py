@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
@@ -32,6 +33,8 @@ OUTLIER_IMPACT = (
 
 HIGH_MISSING = 20.0
 MANY_OUTLIERS = 5
+# Tables whose quartiles are sought at the same time.
+TABLES_AT_ONCE = 8
 
 
 MEASURES = ("row_count", "missing", "outliers", "invalid_formats", "duplicates")
@@ -87,19 +90,26 @@ def _addition(table: str, position: str, **amounts: str) -> list[str]:
     ]
 
 
-def outliers(table: str, df: DataFrame, method: str = "auto") -> DataFrame | None:
+def outliers(table: str, df: DataFrame) -> DataFrame | None:
     """(position, outliers) rows for the numeric columns, zero for columns without."""
     fields = quartiles.numeric_fields(df)
     if not fields:
         return None
     positions = ", ".join(str(df.columns.index(f.name)) for f in fields)
     return (
-        quartiles.outlier_counts(df, fields, method)
+        quartiles.outlier_counts(df, fields)
         .selectExpr(f"inline(arrays_zip(array({positions}), outliers)) AS (p, n)")
         .selectExpr(*_addition(table, "p", outliers="n"))
     )
 
 
+def outliers_of(tables: Tables) -> dict[str, DataFrame]:
+    """The outliers of all tables that have numbers; their rounds run side by side."""
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        counted = pool.map(lambda item: (item[0], outliers(*item)), tables.items())
+    return {table: found for table, found in counted if found is not None}
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier, fully equal row (nulls equal).
 
@@ -124,7 +134,6 @@ def column_details(
     tables: Tables,
     *,
     datetime_columns: DatetimeColumns | None = None,
-    outlier_method: str = "auto",
 ) -> DataFrame:
     """Per column: rows, missing, missing %, outliers, invalid formats.
 
@@ -136,9 +145,7 @@ def column_details(
         parts.append(
             duplicate_rows(df).selectExpr(*_addition(table, "0", duplicates="duplicates"))
         )
-        counted = outliers(table, df, outlier_method)
-        if counted is not None:
-            parts.append(counted)
+    parts += outliers_of(tables).values()
     merged = (
         union_all(parts)
         .groupBy("table_name", "position")

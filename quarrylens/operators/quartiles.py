@@ -1,31 +1,34 @@
-"""Exact quartiles and the outlier fences built on them.
-
-Small inputs use the built-in exact aggregate, whose buffer holds every
-distinct value. Large ones must not: there, quantile sketches with a known
-rank error bracket each wanted order statistic, one scan counts what lies
-below the bracket, and the values inside it are grouped, narrowed to the
-one bucket that holds the rank, and only there put in order. Both ways give
-the same numbers.
+"""Exact quartiles by distributed selection, and the outlier fences built on them.
+
+A quartile lies between two order statistics. Each is enclosed in an interval of
+values that surely holds both, at first the whole range. A round is one scan: it
+counts the values below and inside a candidate part of the interval, which becomes
+the interval if it holds the ranks, and sketches the values inside, from whose
+quantiles the next candidate comes. Sketches only say where to look: a candidate
+that misses leaves the rest of the interval, and the numbers are exact whatever the
+sketches say. Rounds go on until at most MOST_VALUES are left to put in order, or
+all that are left are equal; equal values count as one.
+
+The rounds run while the plan is built and bring back a few numbers per column;
+the order of the values left is part of the plan.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from quarrylens import session
 from quarrylens.functions import values
-from quarrylens.operators.profile import union_all
 
 QUARTILES = (0.25, 0.75)
 MIN_VALUES = 5
-ONE_AGGREGATE_BYTES = 4 * 1024 * 1024
 FENCE = 1.5
-# Size of the bracketing sketches. A bracket reaches four times their published
-# rank error on either side and is cut into BUCKETS by value.
 SKETCH_SIZE = 4096
-BUCKETS = 1_000
+#: Values of one interval that one task puts in order.
+MOST_VALUES = 2_000_000
 # Sketches of all tasks are merged in this many groups before the last merge.
 MERGE_GROUPS = 256
 
@@ -43,193 +46,127 @@ def _number(field: T.StructField) -> str:
     return f"CAST({values.clean(field.name, field.dataType)} AS DOUBLE)"
 
 
-def _direct(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
-    """One row: `q`, an array with (n, q1, q3) per field.
+def _double(value: float) -> str:
+    return f"CAST('{value!r}' AS DOUBLE)"
 
-    The aggregate is slow per value, so beyond a few megabytes every column
-    gets its own and they run side by side.
-    """
-    fractions = "array(" + ", ".join(f"{q}D" for q in QUARTILES) + ")"
-    if session.estimated_bytes(df) <= ONE_AGGREGATE_BYTES:
-        got = df.selectExpr(
-            *[f"count({_number(f)}) AS n{i}" for i, f in enumerate(fields)],
-            *[f"percentile({_number(f)}, {fractions}) AS p{i}" for i, f in enumerate(fields)],
-        )
-        items = [f"struct(n{i} AS n, p{i}[0] AS q1, p{i}[1] AS q3)" for i in range(len(fields))]
-        return got.selectExpr(f"array({', '.join(items)}) AS q")
-    parts = [
-        df.selectExpr(f"count({_number(f)}) AS n", f"percentile({_number(f)}, {fractions}) AS p")
-        .selectExpr(f"{i} AS i", "n", "p[0] AS q1", "p[1] AS q3")
-        for i, f in enumerate(fields)
-    ]
-    # One row per numeric column.
-    return union_all(parts).selectExpr(
-        "array_sort(collect_list(struct(i, n, q1, q3))) AS rows"
-    ).selectExpr("transform(rows, x -> struct(x.n AS n, x.q1 AS q1, x.q3 AS q3)) AS q")
 
+@dataclass
+class Search:
+    """Where the two order statistics of one quartile of one column are."""
 
-def _bracketed(df: DataFrame, fields: Sequence[T.StructField], size: int) -> DataFrame:
-    """The same row from three scans, none of which holds a column in memory.
+    column: int
+    quartile: int
+    n: int
+    low: float
+    high: float
+    below: int = 0
+    held: int = 0
 
-    The first scan runs here and now: sketches are random, so their brackets
-    (four numbers per column) are fixed before anything is counted by them.
-    """
-    slack = 4.0 * rank_error(size)
-    cuts = [min(max(q + d, 0.0), 1.0) for q in QUARTILES for d in (-slack, slack)]
-    fractions = "array(" + ", ".join(f"{c!r}D" for c in cuts) + ")"
+    @property
+    def place(self) -> float:
+        return (self.n - 1) * QUARTILES[self.quartile]
+
+    @property
+    def ended(self) -> bool:
+        return self.held <= MOST_VALUES or self.low == self.high
+
+    def inside(self) -> str:
+        return f"x{self.column} BETWEEN {_double(self.low)} AND {_double(self.high)}"
+
+
+def _sketched(numbers: DataFrame, cells: Sequence[str], ranks: Sequence[Sequence[float]], size: int) -> list[list[float] | None]:
+    """Of each cell expression the quantiles at its ranks; none without values."""
+    first = [e for k, c in enumerate(cells) for e in (f"count({c}) AS n{k}", f"kll_sketch_agg_double({c}, {size}) AS s{k}")]
+    again = [e for k in range(len(cells)) for e in (f"sum(n{k}) AS n{k}", f"kll_merge_agg_double(s{k}, {size}) AS s{k}")]
+    # in two levels: one sketch per task would be too much for a single merge
+    merged = numbers.withColumn("part", F.spark_partition_id() % MERGE_GROUPS).groupBy("part").agg(*map(F.expr, first)).selectExpr(*again)
+    asked = [
+        f"CASE WHEN n{k} > 0 THEN kll_sketch_get_quantile_double(s{k}, array({', '.join(f'{r!r}D' for r in rs)})) END AS q{k}"
+        for k, rs in enumerate(ranks)
+    ]
+    return list(merged.selectExpr(*asked).first())
+
+
+def _around(search: Search, size: int) -> list[float]:
+    """Relative ranks in the interval between which both order statistics should lie."""
+    slack = 4.0 * rank_error(size) + 1 / search.held
+    ranks = (math.floor(search.place) - search.below, math.ceil(search.place) - search.below + 1)
+    return [min(max(r / search.held + d, 0.0), 1.0) for r, d in zip(ranks, (-slack, slack))]
+
+
+def _narrow(numbers: DataFrame, searches: Sequence[Search], size: int) -> None:
+    """One round: candidates from sketches of the intervals, then what they hold."""
+    # both quartiles of a column share a sketch as long as they share an interval
+    ranks: dict[str, list[float]] = {}
+    asked = []
+    for s in searches:
+        cell = f"CASE WHEN {s.inside()} THEN x{s.column} END" if s.held < s.n else f"x{s.column}"
+        asked.append((cell, len(ranks.setdefault(cell, []))))
+        ranks[cell] += _around(s, size)
+    found = dict(zip(ranks, _sketched(numbers, list(ranks), list(ranks.values()), size)))
+    candidates = [found[cell][k : k + 2] if found[cell] else [s.low, s.high] for s, (cell, k) in zip(searches, asked)]
+    counts = []
+    for k, (s, (low, high)) in enumerate(zip(searches, candidates)):
+        x = f"x{s.column}"
+        counts += [f"count_if({x} < {_double(low)}) AS b{k}", f"count_if({x} <= {_double(high)}) AS t{k}"]
+    row = numbers.selectExpr(*counts).first()
+    for k, (s, (low, high)) in enumerate(zip(searches, candidates)):
+        below, upto = row[f"b{k}"], row[f"t{k}"]
+        first, second = math.floor(s.place), math.ceil(s.place)
+        end = s.below + s.held
+        if second < below:  # missed: both lie before the candidate
+            s.high, s.held = math.nextafter(low, -math.inf), below - s.below
+        elif first >= upto:
+            s.low, s.below, s.held = math.nextafter(high, math.inf), upto, end - upto
+        elif first < below:
+            s.high, s.held = high, upto - s.below
+        elif second >= upto:
+            s.low, s.below, s.held = low, below, end - below
+        else:
+            s.low, s.high, s.below, s.held = low, high, below, upto - below
+
+
+def quartiles(df: DataFrame, fields: Sequence[T.StructField], sketch_size: int = SKETCH_SIZE) -> DataFrame:
+    """One row with an array of (n, q1, q3), one entry per field."""
     numbers = df.selectExpr(*[f"{_number(f)} AS x{i}" for i, f in enumerate(fields)])
-    # So few values that the slack is a few ranks: the bracket is the column.
-    few = int(4 / slack)
-    everywhere = range(len(fields))
-    # Two levels: one sketch per task would be too much for a single merge.
-    merged = (
-        numbers.selectExpr("*", f"spark_partition_id() % {MERGE_GROUPS} AS part")
-        .groupBy("part")
-        .agg(
-            *[
-                F.expr(e)
-                for i in everywhere
-                for e in (
-                    f"count(x{i}) AS n{i}",
-                    f"min(x{i}) AS lo{i}",
-                    f"max(x{i}) AS hi{i}",
-                    f"kll_sketch_agg_double(x{i}, {size}) AS s{i}",
-                )
-            ]
-        )
-        .selectExpr(
-            *[
-                e
-                for i in everywhere
-                for e in (
-                    f"sum(n{i}) AS n{i}",
-                    f"min(lo{i}) AS lo{i}",
-                    f"max(hi{i}) AS hi{i}",
-                    f"kll_merge_agg_double(s{i}, {size}) AS s{i}",
-                )
-            ]
-        )
-    )
-    brackets = merged.selectExpr(
-        "array("
-        + ", ".join(
-            f"CASE WHEN coalesce(n{i}, 0) < {few} THEN array(lo{i}, hi{i}, lo{i}, hi{i}) "
-            f"ELSE kll_sketch_get_quantile_double(s{i}, {fractions}) END"
-            for i in everywhere
-        )
-        + ") AS b"
-    ).first()["b"]
-    b = "array(" + ", ".join(
-        "array(" + ", ".join("CAST(NULL AS DOUBLE)" if v is None else f"CAST('{v!r}' AS DOUBLE)" for v in edges) + ")"
-        for edges in brackets
-    ) + ")"
-
-    below = numbers.selectExpr(
-        "array("
-        + ", ".join(
-            f"struct(count(x{i}) AS n, count_if(x{i} < {b}[{i}][0]) AS below0, "
-            f"count_if(x{i} < {b}[{i}][2]) AS below1)"
-            for i in range(len(fields))
-        )
-        + ") AS counts"
+    at = range(len(fields))
+    facts = numbers.selectExpr(*[e for i in at for e in (f"count(x{i}) AS n{i}", f"min(x{i}) AS lo{i}", f"max(x{i}) AS hi{i}")]).first()
+    searches = [
+        Search(i, q, facts[f"n{i}"], facts[f"lo{i}"], facts[f"hi{i}"], held=facts[f"n{i}"])
+        for i in at if facts[f"n{i}"] for q in range(len(QUARTILES))
+    ]
+    todo = [s for s in searches if s.low != s.high]
+    while todo:
+        before = [s.held for s in todo]
+        _narrow(numbers, todo, sketch_size)
+        # what a round leaves whole is few values, or one value that outweighs the others
+        todo = [s for s, held in zip(todo, before) if not s.ended and s.held < held]
+
+    items = [f"struct({facts[f'n{i}']}L AS n, try_element_at(m, {2 * i}) AS q1, try_element_at(m, {2 * i + 1}) AS q3)" for i in at]
+    if not searches:
+        empty = F.expr("CAST(map() AS map<int, double>) AS m")
+        return df.sparkSession.range(1).select(empty).selectExpr(f"array({', '.join(items)}) AS q")
+    inside = [s.inside() for s in searches]
+    stacked = ", ".join(
+        f"{s.column * len(QUARTILES) + s.quartile}, CASE WHEN {c} THEN x{s.column} END, {s.below}L, {_double(s.place)}"
+        for s, c in zip(searches, inside)
     )
-    cells = ", ".join(f"{i}, x{i}" for i in range(len(fields)))
-    values_inside = (
-        numbers.selectExpr(f"stack({len(fields)}, {cells}) AS (i, v)")
-        .where(f"(v >= {b}[i][0] AND v <= {b}[i][1]) OR (v >= {b}[i][2] AND v <= {b}[i][3])")
-        .groupBy("i", "v")
+    ranked = (
+        numbers.where(" OR ".join(f"({c})" for c in inside))
+        .selectExpr(f"stack({len(searches)}, {stacked}) AS (slot, v, below, place)")
+        .where("v IS NOT NULL")
+        .groupBy("slot", "place", "below", "v")
         .agg(F.expr("count(1) AS copies"))
+        .selectExpr("slot", "place", "v", "below + sum(copies) OVER (PARTITION BY slot ORDER BY v) AS upto")
     )
-    # Halved values keep the bucket arithmetic inside the range of a double.
-    inside = (
-        values_inside.selectExpr(
-            "i", "v", "copies", f"inline(array(struct(0 AS q, {b}[i][0] AS low, {b}[i][1] AS high), "
-            f"struct(1 AS q, {b}[i][2] AS low, {b}[i][3] AS high)))",
-        )
-        .where("v >= low AND v <= high")
-        .selectExpr(
-            "i",
-            "q",
-            "v",
-            "copies",
-            f"CASE WHEN low = high THEN 0 ELSE CAST(least(floor((v / 2 - low / 2) / (high / 2 - low / 2) "
-            f"* {BUCKETS}), {BUCKETS - 1}) AS INT) END AS bucket",
-        )
-    )
-    # At most BUCKETS rows per quartile and column.
-    starts = (
-        inside.groupBy("i", "q", "bucket")
-        .agg(F.expr("sum(copies) AS held"))
-        .selectExpr(
-            "*", "sum(held) OVER (PARTITION BY i, q ORDER BY bucket) - held AS earlier"
-        )
-        .select("*", below.scalar().alias("counts"))
-        .selectExpr(
-            "i",
-            "q",
-            "bucket",
-            "held",
-            "earlier + CASE WHEN q = 0 THEN counts[i].below0 ELSE counts[i].below1 END AS start",
-            f"(counts[i].n - 1) * CASE WHEN q = 0 THEN {QUARTILES[0]}D ELSE {QUARTILES[1]}D END AS place",
-        )
-        .where("start <= ceil(place) AND start + held > floor(place)")
-    )
-    # Two neighbouring ranks lie in at most two buckets per quartile and column.
-    ranked = inside.join(F.broadcast(starts), ["i", "q", "bucket"]).selectExpr(
-        "i",
-        "q",
-        "v",
-        "place",
-        "start",
-        "start + sum(copies) OVER (PARTITION BY i, q, bucket ORDER BY v) AS upto",
-    )
-    picked = (
-        ranked.groupBy("i", "q")
-        .agg(
-            F.expr("max(place) AS place"),
-            F.expr("min(start) AS start"),
-            F.expr("min(CASE WHEN upto > floor(place) THEN v END) AS lo"),
-            F.expr("min(CASE WHEN upto > ceil(place) THEN v END) AS hi"),
-        )
-        .where("start <= floor(place)")
-        .selectExpr(
-            f"i * {len(QUARTILES)} + q AS slot",
-            "CASE WHEN lo = hi THEN lo "
-            "ELSE (1 - (place - floor(place))) * lo + (place - floor(place)) * hi END AS value",
-        )
-        # At most one entry per quartile and numeric column.
-        .agg(F.expr("map_from_entries(collect_list(struct(slot, value))) AS m"))
-    )
-
-    # The bracket is far wider than the sketch's error; should a rank ever lie
-    # outside it, fail instead of returning a wrong number.
-    def checked(i: int, q: int) -> str:
-        value = f"try_element_at(m, {i * len(QUARTILES) + q})"
-        return (
-            f"CASE WHEN counts[{i}].n > 0 AND {value} IS NULL THEN "
-            f"CAST(raise_error('quartile rank outside its bracket') AS DOUBLE) ELSE {value} END"
-        )
-
-    items = [
-        f"struct(counts[{i}].n AS n, {checked(i, 0)} AS q1, {checked(i, 1)} AS q3)"
-        for i in range(len(fields))
-    ]
-    return below.select("counts", picked.scalar().alias("m")).selectExpr(
-        f"array({', '.join(items)}) AS q"
+    picked = ranked.groupBy("slot", "place").agg(
+        F.expr("min(CASE WHEN upto > floor(place) THEN v END) AS lo"), F.expr("min(CASE WHEN upto > ceil(place) THEN v END) AS hi"),
+    ).selectExpr(
+        "slot", "CASE WHEN lo = hi THEN lo ELSE (1 - (place - floor(place))) * lo + (place - floor(place)) * hi END AS value",
     )
-
-
-def quartiles(
-    df: DataFrame,
-    fields: Sequence[T.StructField],
-    method: str = "auto",
-    sketch_size: int = SKETCH_SIZE,
-) -> DataFrame:
-    """One row with an array of (n, q1, q3), one entry per field."""
-    if method == "auto":
-        small = session.is_small(df.select(*[values.quote(f.name) for f in fields]))
-        method = "direct" if small else "bracketed"
-    return _direct(df, fields) if method == "direct" else _bracketed(df, fields, sketch_size)
+    # At most one entry per quartile and numeric column.
+    found = picked.agg(F.expr("map_from_entries(collect_list(struct(slot, value))) AS m"))
+    return found.selectExpr(f"array({', '.join(items)}) AS q")
 
 
 def fences(quartile_row: DataFrame) -> DataFrame:
@@ -240,15 +177,13 @@ def fences(quartile_row: DataFrame) -> DataFrame:
     )
 
 
-def outlier_counts(
-    df: DataFrame, fields: Sequence[T.StructField], method: str = "auto"
-) -> DataFrame:
+def outlier_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     """One row with an array of outlier counts, one per field.
 
     The fences enter the scan as one scalar subquery, so the counting stage
     is a plain filter-and-count without a join.
     """
-    bounds = fences(quartiles(df, fields, method)).scalar()
+    bounds = fences(quartiles(df, fields)).scalar()
     numbers = df.selectExpr(*[f"{_number(f)} AS x{i}" for i, f in enumerate(fields)])
     counts = [f"count_if(x{i} < b[{i}].low OR x{i} > b[{i}].high)" for i in range(len(fields))]
     return numbers.select("*", bounds.alias("b")).selectExpr(f"array({', '.join(counts)}) AS outliers")

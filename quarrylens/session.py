@@ -1,4 +1,4 @@
-"""Session defaults, shared scratch folders and plan size estimates."""
+"""Session defaults and shared scratch folders."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Above this estimate a plan is treated as large: exact in-memory aggregates
-# and one-row lookups over it give way to their distributed forms.
-SMALL_INPUT_BYTES = 16 * 1024 * 1024
-
-
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
     spark = (
@@ -54,12 +49,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = fresh_dir(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of the optimized plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def is_small(df: DataFrame) -> bool:
-    return estimated_bytes(df) <= SMALL_INPUT_BYTES

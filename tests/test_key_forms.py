@@ -19,7 +19,7 @@ CASES = [
     ("decimal(38,0)", ["10", "0"], "decimal(38,38)", ["0", "0.25"], ["0.25"]),
     ("decimal(10,2)", ["0.10", "2.00"], "double", [0.1, 2.0, 0.30000000000000004], ["0.30000000000000004"]),
     ("double", [0.1, -0.0], "decimal(10,2)", ["0.10", "0.00", "0.20"], ["0.2"]),
-    ("bigint", [1, 2, 9007199254740993], "double", [1.0, 2.0, 9007199254740992.0, 2.5, float("nan"), None, 1e300], ["9007199254740992", "2.5", "1.0E300"]),
+    ("bigint", [1, 2, 9007199254740993], "double", [1.0, 2.0, 9007199254740992.0, 2.5, float("nan"), None, 1e300], ["2.5", "9007199254740992", "1.0E300"]),
     ("double", [1.0, float("inf")], "int", [1, 2], ["2"]),
     ("int", [1, 100], "decimal(10,3)", ["1.000", "100", "100.5", "10"], ["10", "100.5"]),
     ("decimal(20,0)", ["5", "40"], "bigint", [5, 4, 40], ["4"]),

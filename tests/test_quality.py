@@ -8,7 +8,7 @@ from quarrylens.operators import profile, quality, quartiles
 
 
 @pytest.mark.parametrize("size", [64, 512, 4096])
-def test_bracketed_quartiles_are_exact(spark, monkeypatch, size):
+def test_quartiles_are_exact(spark, size):
     """A third of the rows share one value; the rest are heavy-tailed or sparse."""
     rng = np.random.default_rng(7)
     n = 30_000
@@ -18,30 +18,60 @@ def test_bracketed_quartiles_are_exact(spark, monkeypatch, size):
     df = spark.createDataFrame(
         [(float(a), int(b), float(c)) for a, b, c in zip(tail, few, holes)], "a double, b int, c double"
     )
-    got = quartiles.quartiles(df, df.schema.fields, "bracketed", size).first()["q"]
+    got = quartiles.quartiles(df, df.schema.fields, size).first()["q"]
     for row, values in zip(got, (tail, few, holes[~np.isnan(holes)])):
         assert row["n"] == len(values)
         assert np.allclose([row["q1"], row["q3"]], np.quantile(values, [0.25, 0.75]), rtol=1e-12, atol=0)
-    assert got == quartiles.quartiles(df, df.schema.fields, "direct").first()["q"]
-    monkeypatch.setattr(quartiles, "ONE_AGGREGATE_BYTES", 0)
-    assert got == quartiles.quartiles(df, df.schema.fields, "direct").first()["q"]
 
 
-def test_extreme_doubles(spark):
-    values = [-1.7e308, -1e308, -3.0, 0.0, 2.0, 5.0, 1e308, 1.7e308]
-    df = spark.createDataFrame([(v,) for v in values], "v double")
-    a, b = (quartiles.quartiles(df, df.schema.fields, m).first()["q"] for m in ("direct", "bracketed"))
-    assert a == b
+def test_values_of_one_narrow_interval(spark):
+    """All values but two lie close together, a third of them are equal; the widest range."""
+    n = 40_000
+    df = spark.range(n, numPartitions=5).selectExpr(
+        "CASE WHEN id = 0 THEN -1e300D WHEN id = 1 THEN 1e300D WHEN id % 3 = 0 THEN 1D ELSE 1D + pmod(xxhash64(id), 100000) * 1e-14D END AS v",
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS w", "CAST(NULL AS DOUBLE) AS nothing", "CAST(id % 2 AS INT) AS two",
+    )
+    got = quartiles.quartiles(df, df.schema.fields).first()["q"]
+    rows = df.collect()
+    for at, name in enumerate(("v", "w", "nothing", "two")):
+        values = [r[name] for r in rows if r[name] is not None]
+        found = [got[at]["q1"], got[at]["q3"]]
+        assert got[at]["n"] == len(values)
+        assert found == ([None, None] if not values else pytest.approx(list(np.quantile(values, [0.25, 0.75])), rel=1e-15))
+
+
+@pytest.mark.parametrize("wrong", [0.0, 0.3, 0.9])
+def test_misleading_sketches_only_cost_time(spark, monkeypatch, wrong):
+    """Candidates that miss the ranks leave the rest of the interval; the numbers stay exact."""
+    df = spark.range(20_000, numPartitions=3).selectExpr("CAST(pmod(xxhash64(id), 9973) AS DOUBLE) AS v")
+    want = np.quantile([r["v"] for r in df.collect()], [0.25, 0.75])
+    sketched, calls = quartiles._sketched, []
 
+    def misled(numbers, cells, ranks, size):
+        calls.append(len(cells))
+        return [[wrong * 9973] * 4 for _ in cells] if len(calls) == 1 else sketched(numbers, cells, ranks, size)
 
-def test_large_inputs_leave_the_in_memory_aggregate(spark, monkeypatch):
-    from quarrylens import session
+    monkeypatch.setattr(quartiles, "_sketched", misled)
+    monkeypatch.setattr(quartiles, "MOST_VALUES", 1500)
+    (got,) = quartiles.quartiles(df, df.schema.fields).first()["q"]
+    assert [got["q1"], got["q3"]] == list(want) and len(calls) > 1
 
-    df = spark.range(100).selectExpr("CAST(id AS DOUBLE) AS v")
-    plan = lambda: quartiles.quartiles(df, df.schema.fields)._jdf.queryExecution().optimizedPlan().toString()
-    assert "percentile(" in plan()
-    monkeypatch.setattr(session, "SMALL_INPUT_BYTES", 1)
-    assert "percentile(" not in plan()
+
+def test_rounds_go_on_until_few_values_are_left(spark, monkeypatch):
+    monkeypatch.setattr(quartiles, "MOST_VALUES", 10)
+    df = spark.range(30_000, numPartitions=4).selectExpr("CAST(id * id AS DOUBLE) AS v", "CAST(id % 3 AS INT) AS few")
+    got = quartiles.quartiles(df, df.schema.fields, 64).first()["q"]
+    square = [float(i * i) for i in range(30_000)]
+    assert [got[0]["q1"], got[0]["q3"]] == pytest.approx(list(np.quantile(square, [0.25, 0.75])), rel=1e-14)
+    assert (got[1]["q1"], got[1]["q3"]) == (0.0, 2.0)
+
+
+def test_extreme_doubles(spark):
+    values = [-1.7e308, -1e308, -3.0, 0.0, 2.0, 5.0, 1e308, 1.7e308]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    (got,) = quartiles.quartiles(df, df.schema.fields).first()["q"]
+    # the quarter between neighbours, without a detour beyond the range of a double
+    assert (got["q1"], got["q3"]) == (0.25 * -1e308 + 0.75 * -3.0, 0.75 * 5.0 + 0.25 * 1e308)
 
 
 def test_duplicates_count_nulls_and_long_texts(spark):

@@ -52,10 +52,9 @@ def test_masks(spark, value, name, shown):
         ([1, 2, 3, 1000], 0),
     ],
 )
-@pytest.mark.parametrize("method", ["direct", "bracketed"])
-def test_outliers(spark, numbers, count, method):
+def test_outliers(spark, numbers, count):
     df = spark.createDataFrame([(n,) for n in numbers], "n int")
-    assert quartiles.outlier_counts(df, df.schema.fields, method).first()["outliers"] == [count]
+    assert quartiles.outlier_counts(df, df.schema.fields).first()["outliers"] == [count]
 
 
 def health(spark, rows, schema):

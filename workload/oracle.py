@@ -711,18 +711,17 @@ def build() -> dict[str, str]:
         "sql_table_refs": f"SELECT sql_id, unnest({REFS}) AS table_name FROM ({V.VIEW_SQL['sql_log']})",
         "sql_log_check": sql_check(),
     }
-    sql["quality_outliers"] = sql["quality_outliers_large"] = (
-        "SELECT table_name, column_name, outliers FROM ("
-        + union(
+    for key, names in (
+        ("quality_outliers", ("dirty_customer", "events", "documents", "lineitem")), ("quality_outliers_large", V.BASE_TABLES),
+    ):
+        sql[key] = union(
             [
                 f"SELECT {lit(v)} AS table_name, {lit(c)} AS column_name, {outlier_count(v, c, k)} AS outliers"
-                for v in ("dirty_customer", "events", "documents", "lineitem")
+                for v in names
                 for c, k in view_columns(v)
                 if k in "id"
             ]
         )
-        + ")"
-    )
     sql["flatten_nested"] = """SELECT c_custkey AS id, [c_mktsegment, c_name] AS tags, c_name AS who_name,
         c_nationkey AS who_place_nation, c_mktsegment AS who_place_segment FROM customer"""
     types = {"i": "bigint", "d": "double", "s": "string", "t": "timestamp_ntz", "a": "array<float>"}

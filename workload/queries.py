@@ -403,10 +403,8 @@ def response_audit(spark, sf_dir):
 # --- quality ---------------------------------------------------------------
 
 
-def _details(spark: SparkSession, sf_dir: str, *names: str, method: str = "auto") -> DataFrame:
-    return quality.column_details(
-        V.views(spark, sf_dir, *names), outlier_method=method
-    )
+def _details(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    return quality.column_details(V.views(spark, sf_dir, *names))
 
 
 @query("quality_missing")
@@ -426,28 +424,24 @@ def quality_duplicates(spark, sf_dir):
     )
 
 
-def _outliers(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
-    tables = V.views(spark, sf_dir, "dirty_customer", "events", "documents", "lineitem")
+def _outliers(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    tables = V.views(spark, sf_dir, *names)
     parts = []
-    for t, df in tables.items():
-        names = F.array(*[F.lit(c) for c in df.columns])
-        parts.append(
-            quality.outliers(t, df, method).select(
-                "table_name", F.get(names, F.col("position")).alias("column_name"), "outliers"
-            )
-        )
+    for t, found in quality.outliers_of(tables).items():
+        names = F.array(*[F.lit(c) for c in tables[t].columns])
+        parts.append(found.select("table_name", F.get(names, F.col("position")).alias("column_name"), "outliers"))
     return profile.union_all(parts)
 
 
 @query("quality_outliers")
 def quality_outliers(spark, sf_dir):
-    return _outliers(spark, sf_dir, "auto")
+    return _outliers(spark, sf_dir, "dirty_customer", "events", "documents", "lineitem")
 
 
 @query("quality_outliers_large")
 def quality_outliers_large(spark, sf_dir):
-    """The way large tables go, forced on these."""
-    return _outliers(spark, sf_dir, "bracketed")
+    """Every table with numbers: narrow and wide ranges, few and many equal values."""
+    return _outliers(spark, sf_dir, *[t for t in V.BASE_TABLES if any(k in "id" for _, k in V.COLUMNS[t])])
 
 
 def _formats(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
