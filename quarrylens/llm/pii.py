@@ -30,8 +30,9 @@ LONGER = 16
 # Patterns by type; earlier ones win where several fit.
 _BYTE = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# The first two conditions only spare most positions the label, which is sought backwards.
 SECRET = (
-    r"(?<=(?i:token|secret|api[_-]?key|apikey|passwd|password|access[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?)(?=[_+/=-]*[A-Za-z0-9])[A-Za-z0-9_+/=-]{12,}"
+    r"(?<=[=: \"'])(?=[A-Za-z0-9_+/=-]{12})(?<=(?i:token|secret|api[_-]?key|apikey|passwd|password|access[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?)(?=[_+/=-]*[A-Za-z0-9])[A-Za-z0-9_+/=-]{12,}"
     r"|(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])"
 )
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
