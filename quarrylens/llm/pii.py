@@ -216,8 +216,10 @@ def replace_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
     a title before the name isn't recognised.
     """
     d = docs.select(docs["doc_id"], docs["text"]).withColumn("ents", entities(F.coalesce("text", F.lit(""))))
+    # written once: the patterns cost far more than the copy
+    d = session.cut_lineage(d.withColumn("row_no", F.monotonically_increasing_id()))
     clean = d.where(F.size("ents") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
-    hit = session.cut_lineage(d.where(F.size("ents") > 0).withColumn("row_no", F.monotonically_increasing_id()))
+    hit = d.where(F.size("ents") > 0)
     e = hit.select("row_no", F.posexplode("ents").alias("pos", "e")).withColumn("kind", _kind(F.col("e")))
     e = session.cut_lineage(one_person_each(session.cut_lineage(e.withColumn("canon", _canonical(F.col("kind"), F.col("e"))))))
     shown = e.join(surrogates(e, key), ["kind", "canon"]).select("row_no", "pos", _shown("e", "kind", "surrogate").alias("r"))
