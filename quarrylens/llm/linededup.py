@@ -130,11 +130,12 @@ def with_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """h1, h2, n_docs, last: line keys held by at least `min_docs` documents."""
+    """h1, h2, n_docs, last: line keys held by at least `min_docs` documents. Rows of
+    one doc_id are one document, and so are all rows without an id."""
     own = with_lines(docs, min_chars).select(
         F.coalesce(F.col("row.doc_id"), F.lit(NO_ID)).alias("doc_id"),
         F.explode_outer(F.array_distinct(F.arrays_zip("h1", "h2"))).alias("h"),
-    ).where("h.h1 <> 0")
+    ).where("h.h1 <> 0").distinct()
     return (
         own.groupBy(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last"))

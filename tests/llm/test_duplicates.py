@@ -100,6 +100,14 @@ def test_lines_against_brute_force(spark, docs_of, monkeypatch):
     check(index_bytes=40)
 
 
+def test_rows_of_one_id_are_one_document(spark, docs_of):
+    line = "a line of more than forty characters that several rows hold"
+    few = linededup.line_report(docs_of((1, line), (1, line), (1, line), (2, line), (3, line))).collect()
+    assert [r.n_dropped for r in few] == [0] * 5
+    many = linededup.line_report(docs_of(*[(i % 5, line) for i in range(10)])).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in many) == [(i, int(i < 4)) for i in range(5) for _ in range(2)]
+
+
 def test_line_index_holds_all_and_only_its_keys():
     import numpy as np
 
