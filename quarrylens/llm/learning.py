@@ -26,8 +26,11 @@ OVERLAP = 8
 
 
 def letter_words(text: str) -> list[str]:
-    """Runs of letters, lower-cased; longer ones in overlapping pieces."""
+    """Runs of letters, lower-cased; longer ones in overlapping pieces. Numbers
+    such as fractions and superscripts are no letters."""
     found = _LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, found)):
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
     if max(map(len, found), default=0) <= WIDTH:
         return found
     step = WIDTH - OVERLAP

@@ -9,9 +9,12 @@ place i mod n of that epoch's pseudorandom permutation of the n whole blocks
 ends the epoch. Blocks join slots by (source, index), so a source with a third
 of all words is as many small groups as it has blocks.
 
-Offsets are prefix sums in two levels (hash buckets of a source, then documents
-of a bucket), so no source is sorted in one task. Only one row per source
-reaches the driver; more than MAX_SOURCES is an error.
+Offsets are prefix sums in three levels (hash buckets of a source, equal
+documents of one input task, rows), so no source and no group of copies is sorted
+in one task. Documents lie in the order of a hash of id and text, so the mix is the
+same whatever files or tasks the rows come in. Draws go down a tree over the sources:
+a shard's slots fall on the TOP nodes at most that the driver lists, then on the FAN
+children of each node at most, so any number of sources is drawn alike.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylens import session
@@ -30,7 +33,11 @@ WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 256
 SHARD_SLOTS = 1024
 BUCKET_DOCS = 20_000
-MAX_SOURCES = 100_000
+#: Nodes of the draw's tree that the driver lists, and children of a node below them.
+TOP = 4096
+FAN = 64
+#: Neighbouring shards summed first in the prefix sums over a source's shards.
+RUN_SHARDS = 4096
 
 
 def source_targets(sized: DataFrame, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -58,24 +65,37 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: int = 2) -> DataF
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    """Row key, doc_id, source and number of words of each document."""
+    """Row key, hash of id and text, doc_id, source and words of each document.
+    The row key tells rows apart; only between equal rows does it decide an order."""
     d = common.only(docs, "doc_id", "source", "text")
     return d.select(
-        F.monotonically_increasing_id().alias("row_no"), "doc_id", "source",
-        F.size(common.words(F.col("text"))).cast("long").alias("size"),
-    )
+        F.monotonically_increasing_id().alias("row_no"), F.xxhash64("doc_id", "text").alias("own"), "doc_id", "source",
+        common.words(F.col("text")).alias("w"),
+    ).withColumn("size", F.size("w").cast("long"))
+
+
+def _before(df: DataFrame, group: list[str], order: list[str], n: str) -> Column:
+    """Sum of `n` over the rows of the group ahead of each row."""
+    ahead = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(df[n]).over(ahead), F.lit(0))
 
 
 def _offsets(sized: DataFrame, n_rows: int) -> DataFrame:
-    """sized plus `start`, the first word of a document within its source."""
+    """sized plus `start`, the first word of a document within its source; rows
+    without words have none."""
     n_buckets = max(1, -(-n_rows // BUCKET_DOCS))
-    d = sized.withColumn("bucket", F.pmod(F.xxhash64("row_no", "doc_id"), F.lit(n_buckets)))
-    sums = d.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
-    earlier = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source_no", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "row_no").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return d.join(sums, ["source_no", "bucket"]).withColumn("start", F.col("base") + F.col("inner")).drop("bucket", "base", "inner")
+    d = sized.withColumn("bucket", F.pmod("own", F.lit(n_buckets))).withColumn("task", F.shiftright("row_no", 33))
+    filled = d.where("size > 0")
+    equal = ["source_no", "bucket", "own", "task"]
+    copies = filled.groupBy(*equal).agg(F.sum("size").alias("n"))
+    sums = copies.groupBy("source_no", "bucket").agg(F.sum("n").alias("n"))
+    sums = sums.select("source_no", "bucket", _before(sums, ["source_no"], ["bucket"], "n").alias("base"))
+    copies = copies.select(*equal, _before(copies, ["source_no", "bucket"], ["own", "task"], "n").alias("upto"))
+    filled = filled.withColumn("inner", _before(filled, equal, ["row_no"], "size"))
+    starts = filled.join(copies, equal).join(sums, ["source_no", "bucket"])
+    starts = starts.withColumn("start", F.col("base") + F.col("upto") + F.col("inner"))
+    none = d.where("size = 0").withColumn("start", F.lit(None).cast("long"))
+    return starts.select(*sized.columns, "start").unionByName(none.select(*sized.columns, "start"))
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -112,38 +132,74 @@ def _block_of(seed: int):
     return block
 
 
-def draw_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
-    """shard, source_no, epoch, block, words: every slot of the mix.
+def _draws(slots: DataFrame, shard_slots: int, seed: int) -> tuple[DataFrame, int]:
+    """shard, source_no, drawn: multinomial counts of every shard in proportion
+    to the sources' slots; and the number of shards.
 
-    `words` is the block's length, less in the last slot of a source.
+    A level of the tree holds the slots of `source_no div FAN`, and so on up to
+    at most TOP nodes. A multinomial over the nodes, then one over the children
+    of each node, is the multinomial over the sources.
     """
-    spark = targets.sparkSession
-    t = targets.where("source_size > 0").withColumn("due", F.floor("target"))
-    t = t.withColumn("n_blocks", F.ceil(F.col("source_size") / block_words)).withColumn("whole", F.floor(F.col("source_size") / block_words))
-    t = t.withColumn("epochs", F.floor(F.col("due") / F.col("source_size")))
-    t = t.withColumn("slots", F.col("epochs") * F.col("n_blocks") + F.ceil((F.col("due") - F.col("epochs") * F.col("source_size")) / block_words))
-    rows = t.select("source_no", "slots").orderBy("source_no").take(MAX_SOURCES + 1)
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    numbers = np.array([r["source_no"] for r in rows], np.int64)
-    slots = np.array([r["slots"] for r in rows], np.float64)
-    total = int(slots.sum())
+    spark = slots.sparkSession
+    level = slots.select(F.col("source_no").alias("node"), "slots")
+    width, lower = (level.agg(F.max("node")).head()[0] or 0) + 1, []
+    while width > TOP:
+        kids = level.groupBy(F.expr(f"node div {FAN}").alias("node")).agg(
+            F.sum("slots").alias("slots"), F.sort_array(F.collect_list(F.struct(F.col("node").alias("no"), "slots"))).alias("kids")
+        )
+        kids = session.cut_lineage(kids)
+        lower.append(kids.select("node", "kids"))
+        level, width = kids.select("node", "slots"), -(-width // FAN)
+    rows = level.orderBy("node").collect()  # TOP at most
+    numbers = np.array([r["node"] for r in rows], np.int64)
+    weights = np.array([r["slots"] for r in rows], np.float64)
+    total = int(sum(r["slots"] for r in rows))
     n_shards = -(-total // shard_slots)
-    share = slots / max(slots.sum(), 1.0)
 
     def draws(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for shard in pdf["id"]:
                 size = min(shard_slots, total - shard * shard_slots)
-                got = np.random.default_rng([seed, shard]).multinomial(size, share)
-                yield pd.DataFrame({"shard": shard, "source_no": numbers[got > 0], "drawn": got[got > 0]})
+                got = np.random.default_rng([seed, shard]).multinomial(size, weights / weights.sum())
+                yield pd.DataFrame({"shard": shard, "node": numbers[got > 0], "drawn": got[got > 0]})
+
+    def split(depth: int):
+        def below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                shard, node, drawn = [], [], []
+                for row in pdf.itertuples():
+                    share = np.array([kid["slots"] for kid in row.kids], np.float64)
+                    got = np.random.default_rng([seed, row.shard, depth, row.node]).multinomial(row.drawn, share / share.sum())
+                    for i in np.flatnonzero(got):
+                        shard.append(row.shard), node.append(row.kids[i]["no"]), drawn.append(got[i])
+                yield pd.DataFrame({"shard": shard, "node": node, "drawn": drawn}, dtype=np.int64)
+
+        return below
+
+    shape = "shard long, node long, drawn long"
+    drawn = spark.range(n_shards).mapInPandas(draws, shape)
+    for depth, kids in reversed(list(enumerate(lower, 1))):
+        drawn = drawn.join(kids, "node").select("shard", "node", "drawn", "kids").mapInPandas(split(depth), shape)
+    return drawn.withColumnRenamed("node", "source_no"), n_shards
 
-    drawn = spark.range(n_shards).mapInPandas(draws, "shard long, source_no long, drawn long")
-    so_far = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.join(t, "source_no").withColumn("first", F.coalesce(F.sum("drawn").over(so_far), F.lit(0)))
+
+def draw_slots(targets: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    """shard, source_no, epoch, block, words: every slot of the mix.
+
+    `words` is the block's length, less in the last slot of a source.
+    """
+    t = targets.where("source_size > 0").withColumn("due", F.floor("target"))
+    t = t.withColumn("n_blocks", F.ceil(F.col("source_size") / block_words)).withColumn("whole", F.floor(F.col("source_size") / block_words))
+    t = t.withColumn("epochs", F.floor(F.col("due") / F.col("source_size")))
+    t = t.withColumn("slots", F.col("epochs") * F.col("n_blocks") + F.ceil((F.col("due") - F.col("epochs") * F.col("source_size")) / block_words))
+    drawn, n_shards = _draws(t.select("source_no", "slots"), shard_slots, seed)
+    drawn = session.cut_lineage(drawn.withColumn("run", F.expr(f"shard div {RUN_SHARDS}")))
+    runs = drawn.groupBy("source_no", "run").agg(F.sum("drawn").alias("n"))
+    runs = runs.select("source_no", "run", _before(runs, ["source_no"], ["run"], "n").alias("base"))
+    first = F.col("base") + _before(drawn, ["source_no", "run"], ["shard"], "drawn")
+    placed = drawn.groupBy("source_no").agg(F.sum("drawn").alias("placed"))
+    drawn = drawn.join(runs, ["source_no", "run"]).join(t.select("source_no", "slots"), "source_no").withColumn("first", first)
     drawn = drawn.select("shard", "source_no", "first", F.least(F.col("drawn"), F.col("slots") - F.col("first")).alias("n")).where("n > 0")
-    drawn = session.cut_lineage(drawn)
-    placed = drawn.groupBy("source_no").agg(F.sum("n").alias("placed"))
     rest = t.join(placed, "source_no", "left").select("source_no", F.coalesce("placed", F.lit(0)).alias("placed"), "slots").where("placed < slots")
     rest = rest.withColumn("first", F.explode(F.expr(f"sequence(placed, slots - 1, {shard_slots})")))
     rest = rest.select(
@@ -170,10 +226,10 @@ def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
 
 
 def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    sized = session.cut_lineage(sized_documents(docs))
+    sized = session.cut_lineage(sized_documents(docs).drop("w"))
     targets = session.cut_lineage(source_targets(sized))
     numbered = sized.join(targets.select("source", "source_no"), sized["source"].eqNullSafe(targets["source"])).select(
-        "row_no", "doc_id", "size", "source_no"
+        "row_no", "own", "doc_id", "size", "source_no"
     )
     return _offsets(numbered, sized.count()), targets
 
@@ -185,7 +241,7 @@ def mix_report(
 
     Null and blank texts have size 0 and nothing taken; a null source is one
     source, after the others; rows that repeat an id are documents of their
-    own. The same rows and seed give the same mix.
+    own. The same rows and seed give the same mix in whatever files they lie.
     """
     placed, targets = _prepared(docs)
     slots = draw_slots(targets, block_words, shard_slots, seed)
@@ -209,11 +265,7 @@ def mixed_blocks(
     """The mix itself: shard, slot, source, text of every slot, words joined by
     one space. A block's text is at most `block_words` words, whatever its documents.
     """
-    sized = session.cut_lineage(
-        common.only(docs, "doc_id", "source", "text").select(
-            F.monotonically_increasing_id().alias("row_no"), "doc_id", "source", common.words(F.col("text")).alias("w")
-        ).withColumn("size", F.size("w").cast("long"))
-    )
+    sized = session.cut_lineage(sized_documents(docs))
     targets = session.cut_lineage(source_targets(sized))
     placed = sized.join(targets.select(F.col("source").alias("s"), "source_no"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
     offsets = _offsets(placed.drop("w"), sized.count()).select("row_no", "start")

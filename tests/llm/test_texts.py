@@ -89,6 +89,7 @@ def test_gru_gradients():
 def test_long_runs_are_read_whole(spark, docs_of):
     assert learning.letter_words("ab Cd " + "x" * 24) == ["ab", "cd", "x" * 24]
     run = "".join(np.random.default_rng(2).choice(list("abcdefghij"), 1000))
+    assert learning.letter_words("½ x²y ③ 7 Ⅷ _") == ["x", "y"]
     pieces = learning.letter_words(run)
     assert max(map(len, pieces)) <= learning.WIDTH
     assert {run[i : i + 8] for i in range(993)} == {p[i : i + 8] for p in pieces for i in range(len(p) - 7)}
@@ -300,6 +301,41 @@ def test_mix(spark, docs_of):
     assert mixing.mix_report(docs.limit(0)).count() == 0
 
 
+def _mixed_rows(df):
+    return sorted(map(tuple, mixing.mix_report(df, 16, 64).collect()), key=str)
+
+
+def test_mix_is_the_same_in_any_files(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_DOCS", 40)
+    monkeypatch.setattr(mixing, "RUN_SHARDS", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i, prose("en", int(rng.integers(0, 300)), i), "en", [None, "a", "b"][i % 3]) for i in range(150)]
+    rows += [(7, "the same row " * 20, "en", "a")] * 60 + [(None, "", "en", "a")] * 40  # a third of all, and empty ones
+    docs = docs_of(*rows)
+    one, many = _mixed_rows(docs.coalesce(1)), _mixed_rows(docs.repartition(7))
+    assert len(one) == 250 and one == many
+    assert _mixed_rows(docs.repartition(5, "text")) == one
+
+
+def test_mix_draws_down_a_tree_of_sources(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "TOP", 4)
+    monkeypatch.setattr(mixing, "FAN", 3)
+    docs = docs_of(*[(i, prose("en", 40 + i % 30, i), "en", f"s{i % 100:02}") for i in range(300)])
+    taken, target, size = collections.Counter(), {}, collections.Counter()
+    for r in mixing.mix_report(docs, 16, 64).collect():
+        taken[r.source] += r.taken
+        size[r.source] += r.size
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert len(target) == 100 and all(0 <= target[s] - taken[s] < 1 for s in target)
+    slots = spark.createDataFrame([(i, 1 + 9 * (i == 50)) for i in range(100)], "source_no long, slots long")
+    drawn, n_shards = mixing._draws(slots, 8, 1)
+    by_shard = collections.Counter()
+    for r in drawn.collect():
+        by_shard[r.shard] += r.drawn
+    assert n_shards == 14 and sum(by_shard.values()) == 109 and max(by_shard.values()) == 8
+
+
 def test_permutation():
     for n in (1, 2, 3, 17, 1000):
         out = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 77, np.uint64))
