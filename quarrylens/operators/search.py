@@ -88,13 +88,21 @@ def query_words(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\w+", query.lower())))
 
 
-def _ranked(hits: DataFrame, score: Column, keys: Sequence[str], k: int) -> DataFrame:
+def ranked(hits: DataFrame, score: Column, keys: Sequence[str], k: int) -> DataFrame:
     """The k first hits per query. The rank filter becomes a per-task group
     limit ahead of the shuffle, so a query's hits never gather unbounded."""
     order = W.partitionBy("query_id").orderBy(score, *keys)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def first_rows(df: DataFrame, group: Sequence[str], key: str, k: int) -> DataFrame:
+    """The k first rows by key of each group, limited per task ahead of the shuffle."""
+    if not group:
+        return df.orderBy(quoted_key(key)).limit(k)
+    order = W.partitionBy(*group).orderBy(quoted_key(key))
+    return df.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k).drop("__place")
+
+
 def token_search(
     documents: DataFrame,
     queries: Sequence[str],
@@ -145,7 +153,7 @@ def _token_block(
         scores = ["struct(0 AS query_id, 0D AS score)"]
         prepared = prepared.where(F.lit(False))
     hits = prepared.select(key, *keep, F.expr(f"inline(array({', '.join(scores)}))"))
-    return _ranked(hits, F.col("score").desc(), [key], k)
+    return ranked(hits, F.col("score").desc(), [key], k)
 
 
 def quoted_key(key: str) -> Column:
@@ -201,7 +209,7 @@ def _vector_block(
             )
         ),
     )
-    return _ranked(measured, F.col("distance"), [key], k)
+    return ranked(measured, F.col("distance"), [key], k)
 
 
 def hit_sources(hits: DataFrame) -> DataFrame:
