@@ -439,13 +439,44 @@ def token_hits(source: str, key: str, queries: tuple[str, ...], k: int, keep: st
           {union(parts)})) WHERE rank <= {k}"""
 
 
+def asked_hits(source: str, asked: str, k: int, keep: str, within: str = "true") -> str:
+    """Best k documents of each question of a table (query_id, question, dataset)."""
+    words = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
+    return f"""SELECT query_id, doc_id, {keep}, rank, score, round(1.0::DOUBLE - score, 3) AS distance FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM (
+          WITH prepared AS MATERIALIZED (SELECT doc_id, {keep}, lower(coalesce(text, '')) AS low, {words.format("coalesce(text, '')")} AS words
+                 FROM ({source})),
+               asked AS MATERIALIZED (SELECT *, {words.format("coalesce(question, '')")} AS t FROM ({asked}))
+          SELECT query_id, doc_id, {', '.join('prepared.' + c for c in keep.split(', '))}, len(list_intersect(t, words)) / len(t)
+            + 0.2::DOUBLE * len(list_filter(t, lambda x: contains(low, x))) AS score
+          FROM prepared JOIN asked ON len(t) > 0 AND {within})) WHERE rank <= {k}"""
+
+
+def question_pipeline(documents_sql: str, tables_sql: str) -> str:
+    """Context, confidence, verdict and released answer of each logged question."""
+    log = f"SELECT event_id AS question_id, {Q.ASKED_DATASET} AS dataset, question, answer, model FROM ({V.VIEW_SQL['question_log']})"
+    asked = f"SELECT DISTINCT dataset || '|' || question AS query_id, dataset, question FROM ({log})"
+    hits = asked_hits(documents_sql, asked, 4, "dataset, table_name, text", "prepared.dataset = asked.dataset")
+    confidence = """round(greatest(0.90::DOUBLE - CASE WHEN contains(model, 'Fallback') THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END
+        - CASE WHEN len(context) > 0 THEN 0.0::DOUBLE ELSE 0.10::DOUBLE END, 0.50::DOUBLE), 2)"""
+    return f"""WITH found AS MATERIALIZED (SELECT query_id, list(text ORDER BY rank) AS context,
+            coalesce(list_sort(list_distinct(list(table_name))), []) AS source_tables FROM ({hits}) GROUP BY query_id),
+          answered AS (SELECT l.* EXCLUDE (query_id), coalesce(context, []) AS context, coalesce(source_tables, []) AS source_tables,
+            dataset IN (SELECT dataset FROM ({tables_sql})) OR len(coalesce(context, [])) > 0 AS grounded
+            FROM (SELECT *, dataset || '|' || question AS query_id FROM ({log})) l LEFT JOIN found USING (query_id))
+        SELECT question_id, dataset, {intent('question')} AS intent, {mentions('question', questions.NUMERIC_PHRASES)} AS is_numeric,
+          context, source_tables, CASE WHEN grounded THEN {confidence} END AS confidence,
+          CASE WHEN grounded THEN {VERDICT} ELSE 'PASSED' END AS verdict,
+          CASE WHEN grounded THEN {RELEASED} ELSE 'No relevant information found in the selected dataset.' END AS response FROM answered"""
+
+
 def knn(k: int, where: str = "true", keep: str = "") -> str:
     return f"""SELECT query_id, rank, vec_id{keep}, round(distance, 6) AS distance FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INT AS rank FROM (
           SELECT q.vec_id AS query_id, e.vec_id{', e.label' if keep else ''},
             list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(e.embedding, q.embedding),
               lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), lambda a, b: a + b) AS distance
-          FROM (SELECT * FROM embeddings WHERE {where}) e, (SELECT * FROM embeddings WHERE vec_id < 5) q)) WHERE rank <= {k}"""
+          FROM (SELECT * FROM embeddings WHERE {where}) e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q)) WHERE rank <= {k}"""
 
 
 # --- texts, questions and logged SQL ---------------------------------------
@@ -691,6 +722,11 @@ def build() -> dict[str, str]:
         + token_hits("SELECT * FROM documents WHERE lang = 'de'", "doc_id", Q.SEARCH_QUERIES, 3, "lang") + ")",
         "catalog_document_search": f"SELECT query_id, rank, doc_id, distance FROM ({catalog_hits})",
         "hit_sources": f"SELECT DISTINCT query_id, table_name FROM ({catalog_hits}) WHERE table_name IS NOT NULL",
+        "token_index_search": "SELECT query_id, rank, doc_id, lang, round(score, 6) AS score, distance FROM (" + asked_hits(
+            "SELECT * FROM documents",
+            "SELECT conv_id * 1000 + turn AS query_id, min(text) AS question FROM conversations WHERE conv_id % 100 = 0 GROUP BY ALL",
+            5, "lang") + ")",
+        "question_pipeline": question_pipeline(shop_documents, catalog_tables()),
         "vector_knn": knn(10),
         "vector_knn_filtered": knn(4, "label = 3", ", label"),
         "schema_context": contexts(),

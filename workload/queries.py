@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylens import session
 from quarrylens.functions import masking, questions, text
-from quarrylens.operators import glossary, profile, quality, relations, search, sqlgov
-from quarrylens.plans import catalog, catalog_queries as cq, ingest
+from quarrylens.operators import glossary, profile, quality, relations, search, sqlgov, tokenindex
+from quarrylens.plans import catalog, catalog_queries as cq, ingest, question_batch
 from quarrylens.sources import files
 from quarrylens.streaming import traces
 from workload import views as V
@@ -22,6 +22,7 @@ _shared: dict[tuple, object] = {}
 FIRST_UPLOAD = datetime(2024, 6, 1)
 SEARCH_QUERIES = ("the and of with", "die der und heit", "customer account number 2024", "Éréou vieau zzzz")
 CATALOG_QUERIES = ("customer key nation", "email phone privacy", "order price", "embedding vector")
+ASKED_DATASET = "CASE event_id % 7 WHEN 0 THEN 'corpus' WHEN 1 THEN 'elsewhere' ELSE 'shop' END"
 SECRETS = ("SECRET-TOKEN-1",)
 FOREIGN_KEYS = (
     ("partial_customer", "c_custkey", "orders", "o_custkey"),
@@ -810,9 +811,30 @@ def hit_sources(spark, sf_dir):
     return search.hit_sources(_catalog_hits(spark, sf_dir))
 
 
+@query("token_index_search")
+def token_index_search(spark, sf_dir):
+    """The turns of every hundredth conversation asked of all documents."""
+    index = tokenindex.build_index(V.view(spark, sf_dir, "documents"), keep=["lang"])
+    turns = V.view(spark, sf_dir, "conversations").where("conv_id % 100 = 0")
+    asked = turns.groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id")).agg(F.min("text").alias("question"))
+    hits = tokenindex.search_index(index, asked, k=5)
+    return hits.select("query_id", "rank", "doc_id", "lang", F.round("score", 6).alias("score"), "distance")
+
+
+@query("question_pipeline")
+def question_pipeline(spark, sf_dir):
+    """The question log put to the shop, to a dataset without documents and to none."""
+    tables, documents = _catalog(spark, sf_dir, "tables", "documents")
+    shop = documents.where("dataset = 'shop'")
+    asked = V.view(spark, sf_dir, "question_log").select(
+        F.col("event_id").alias("question_id"), F.expr(ASKED_DATASET).alias("dataset"), "question", "answer", "model"
+    )
+    return question_batch.answer_batch(asked, question_batch.index_catalog(shop), shop, tables)
+
+
 def _query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five query vectors; the search itself runs over the whole table."""
-    return V.view(spark, sf_dir, "embeddings").where("vec_id < 5").select(
+    """Every hundredth vector; the search itself runs over the whole table."""
+    return V.view(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(
         F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")
     )
 
