@@ -101,3 +101,26 @@ def test_rankings_are_limited_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id AS doc_id", "CAST(id AS STRING) AS text")
     plan = search.token_search(df, ["1", "2"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_knn_by_matrix_products(spark):
+    """Many equal distances, vectors far from the origin, and odd ones."""
+    rng = np.random.default_rng(4)
+    points = rng.integers(0, 3, size=(3000, 4)) / 8 + 1e4
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows[::-1], "vec_id int, embedding array<float>").coalesce(2)
+    queries = df.where("vec_id % 300 = 0").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    hits = search.vector_knn(df, queries, k=5)
+    assert "MapInArrow" in hits._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["distance"]) for r in hits.collect())
+    held = points.astype("float32").astype(float)
+    want = []
+    for q in range(0, 3000, 300):
+        gaps = ((held - held[q]) ** 2).cumsum(axis=1)[:, -1]
+        want += [(q, n + 1, int(i), float(gaps[i])) for n, i in enumerate(np.lexsort((np.arange(3000), gaps))[:5])]
+    assert got == want
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [float("nan"), 0.0]), (5, [None, 1.0]), (6, [1.0, 4.0])], df.schema)
+    asked = odd.where("vec_id IN (1, 2)").selectExpr("vec_id AS query_id", "embedding AS query_vector")
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], str(r["distance"])) for r in search.vector_knn(odd, asked, k=6).collect())
+    assert [x[2:] for x in found[:6]] == [(2, "None"), (3, "None"), (5, "None"), (1, "0.0"), (6, "4.0"), (4, "nan")]
+    assert [x[2:] for x in found[6:]] == [(i, "None") for i in range(1, 7)]
