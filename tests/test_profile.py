@@ -110,8 +110,7 @@ def test_schema_only_profile(spark, table):
     assert {r["distinct_count"] for r in rows} == {0}
 
 
-def test_methods_stay_short_enough_to_be_compiled(spark):
-    """The JVM leaves methods of over 8,000 bytes uncompiled; a date rule per column made such."""
+def test_the_date_rule_is_written_once_for_all_columns(spark):
     wide = spark.range(3).selectExpr("id", *[f"concat('2024-01-0', id + 1, ' 10:00:0', {i}) AS s{i}" for i in range(8)])
     facts = profile.column_facts({"t": wide}, dates=True)
     assert facts._jdf.queryExecution().executedPlan().toString().count("RLIKE") <= 20
