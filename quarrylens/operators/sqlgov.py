@@ -29,30 +29,30 @@ def sql_log_check(
     """(key, is_valid, message): tables must be cataloged, and `table.column`
     pairs on a named table must exist.
 
-    The catalog (one entry per table) enters as one scalar value, so the log
-    is checked in a single pass without a shuffle.
+    The catalog (one entry per table) enters as one constant, which no row carries,
+    so the log is checked in a single pass without a shuffle.
     """
-    catalog = (
+    listed = (
         columns.groupBy(F.lower("table_name").alias("t"))
         .agg(
             F.first("table_name").alias("name"),
             F.collect_set(F.lower("column_name")).alias("cols"),
         )
-        .agg(F.map_from_entries(F.collect_list(F.struct("t", F.struct("name", "cols")))).alias("m"))
+        .collect()
     )
-    read = log.select(
-        key,
-        questions.table_references(F.col(sql)).alias("refs"),
-        questions.column_references(F.col(sql)).alias("pairs"),
-        F.coalesce(catalog.scalar(), F.create_map().cast("map<string,struct<name:string,cols:array<string>>>")).alias("m"),
-    )
-    unknown = F.filter("refs", lambda t: ~F.map_contains_key("m", F.lower(t)))
-    lowered = F.transform("refs", lambda t: F.lower(t))
+    entries = [
+        f"{values.literal(r['t'])}, struct({values.literal(r['name'])} AS name, "
+        f"CAST(array({', '.join(map(values.literal, sorted(r['cols'])))}) AS array<string>) AS cols)"
+        for r in listed
+    ]
+    catalog = F.expr(f"map({', '.join(entries)})").cast("map<string,struct<name:string,cols:array<string>>>")
+    read = questions.with_references(log, key, sql).withColumn("lowered", F.transform("refs", lambda t: F.lower(t)))
+    unknown = F.filter("refs", lambda t: ~F.map_contains_key(catalog, F.lower(t)))
     bad_pairs = F.filter(
         "pairs",
-        lambda p: F.array_contains(lowered, F.split_part(p, F.lit("."), F.lit(1)))
+        lambda p: F.array_contains(F.col("lowered"), F.split_part(p, F.lit("."), F.lit(1)))
         & ~F.array_contains(
-            F.try_element_at("m", F.split_part(p, F.lit("."), F.lit(1)))["cols"],
+            F.try_element_at(catalog, F.split_part(p, F.lit("."), F.lit(1)))["cols"],
             F.split_part(p, F.lit("."), F.lit(2)),
         ),
     )
@@ -65,7 +65,7 @@ def sql_log_check(
             F.format_string(
                 UNKNOWN_COLUMN,
                 F.split_part(first_bad, F.lit("."), F.lit(2)),
-                F.try_element_at("m", F.split_part(first_bad, F.lit("."), F.lit(1)))["name"],
+                F.try_element_at(catalog, F.split_part(first_bad, F.lit("."), F.lit(1)))["name"],
             ),
         )
     )

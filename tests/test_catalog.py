@@ -147,3 +147,35 @@ def test_scratch_folder_is_the_configured_one(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         assert session.fresh_dir(spark, "x").startswith(configured.rstrip("/"))
+
+
+def test_a_part_of_the_catalog_is_the_same_as_in_the_whole(spark, store, tmp_path):
+    tables = small_tables(spark)
+    ingest.ingest(store, "d", "CSV", "p", tables)
+    assert ingest.with_sources(["relationships"]) == ["columns", "relationships"]
+    assert ingest.with_sources(["datasets"]) == list(ingest.PARTS)
+    kept = catalog.CatalogStore(spark, str(tmp_path / "parts"))
+    for step in ingest.with_sources(["relationships"]):  # one at a time, from what the store holds
+        ingest.ingest(kept, "d", "CSV", "p", tables, parts=[step])
+        got, want = (sorted(map(str, s.read(step).collect())) for s in (kept, store))
+        assert got == want and got
+    assert kept.read("datasets").count() == 0 and kept.read("quality_metrics").count() == 0
+
+
+def test_log_check_carries_no_catalog(spark):
+    """No row of the log holds the catalog, comments are taken out once, odd names are found."""
+    columns = spark.createDataFrame(
+        [("It's", "A\\b"), ("it's", "c"), ("t_1", "x1"), ("t_1", "y")], "table_name string, column_name string"
+    )
+    cases = [
+        ("SELECT t_1.x1, t_1.z FROM db.t_1", "Column 'z' does not exist on table 't_1'."),
+        ("SELECT 1t_1.y.z FROM T_1 -- join nowhere", "Table 'nowhere' referenced in SQL does not exist in the dataset catalog."),
+        ("SELECT 1t_1.y.z FROM T_1 /* join nowhere */", None),
+        ("SELECT 1 FROM a.b.", "Table '' referenced in SQL does not exist in the dataset catalog."),
+        ("SELECT 1", sqlgov.NO_TABLE),
+    ]
+    log = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "sql_id int, sql_text string")
+    checked = sqlgov.sql_log_check(log, columns)
+    got = {r["sql_id"]: r["message"] for r in checked.collect()}
+    assert got == {i: c[1] for i, c in enumerate(cases)}
+    assert "Subquery" not in checked._jdf.queryExecution().executedPlan().toString()
