@@ -3,6 +3,7 @@
 import itertools
 import re
 
+from quarrylens import session
 from quarrylens.operators import profile, relations
 
 
@@ -90,3 +91,20 @@ def test_last_edge_wins(spark):
     )
     (edge,) = relations.relationship_edges(df).collect()
     assert (edge["source_column"], edge["confidence"]) == ("z", 0.9)
+
+
+def test_overlap_reads_values_once(spark):
+    """The result is read off a stored histogram: no value is grouped or shuffled again."""
+    tables = {t: spark.range(n).selectExpr("id AS x_id", "CAST(id AS STRING) AS y_code") for t, n in (("a", 40), ("b", 30), ("c", 9))}
+    tables["d"] = spark.createDataFrame([(float("nan"), None), (2.0, "7"), (2.5, "x"), (None, "7")], "x_id double, y_code string")
+    made = relations.name_matched_pairs(relations.key_candidates(profile.profile_columns(tables)))
+    made = session.cut_lineage(made)
+    found = relations.value_overlap(tables, made)
+    names = {i: (t, c) for i, t, _, f in profile.catalog_columns(tables) for c in [f.name]}
+    held = {i: {r[0] for r in tables[t].where(f"{c} IS NOT NULL").select(c).collect() if r[0] == r[0]} for i, (t, c) in names.items()}
+    rows = found.collect()
+    got = {(r["a_id"], r["b_id"]): (r["a_distinct"], r["b_distinct"], r["shared"]) for r in rows}
+    want = {(r["a"], r["b"]): (len(held[r["a"]]), len(held[r["b"]]), len(held[r["a"]] & held[r["b"]])) for r in made.selectExpr("a.id a", "b.id b").collect()}
+    assert got == want and len(got) == len(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "y_code" not in plan and "bit_or" not in plan
