@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylens.functions import values
 from quarrylens.operators import profile, quality, quartiles
 
 
@@ -85,6 +86,49 @@ def test_hot_duplicate_collapses(spark):
     assert quality.duplicate_rows(df).first()[0] == 999
 
 
+def physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_are_compared_in_full_only_where_fingerprints_repeat(spark, monkeypatch):
+    """Without repeats nothing is grouped again; the counts are those of the full rows."""
+    single = spark.range(500).selectExpr("id", "CAST(id AS STRING) AS t", "array(CAST(id AS DOUBLE)) AS a")
+    rows = [(0.0, "a", None), (-0.0, "a", None), (float("nan"), None, [0.0]), (None, None, [-0.0]), (1.0, "b", [1.0]), (1.0, None, [1.0])]
+    odd = spark.createDataFrame(rows * 2 + [(2.0, "c", None)], "d double, `a.b` string, x array<double>")
+    cased = spark.sql("SELECT v COLLATE UTF8_LCASE AS v FROM VALUES ('a'), ('A'), ('b') AS t(v)")
+    tables = {"single": single, "odd": odd, "cased": cased}
+    for most in (quality.MOST_FINGERPRINTS, 0):
+        monkeypatch.setattr(quality, "MOST_FINGERPRINTS", most)
+        found = quality.duplicates_of(tables)
+        assert {t: df.first()["duplicates"] for t, df in found.items()} == {"single": 0, "odd": 8, "cased": 1}
+        assert "Exchange" not in physical(found["single"])
+        # a fingerprint that says nothing costs time only
+        with monkeypatch.context() as m:
+            m.setattr(quality.values, "fingerprint", lambda fields: "7L")
+            assert {t: df.first()["duplicates"] for t, df in quality.duplicates_of(tables).items()} == {"single": 0, "odd": 8, "cased": 1}
+
+
+def test_quartiles_that_are_one_value_are_not_put_in_order(spark):
+    df = spark.range(9000).selectExpr("CASE WHEN id % 9 = 0 THEN id ELSE 5 END AS v", "7 AS w")
+    found = quartiles.quartiles(df, df.schema.fields)
+    assert [(r["q1"], r["q3"]) for r in found.first()["q"]][1] == (7.0, 7.0)
+    constant = quartiles.quartiles(df, df.schema.fields[1:])
+    assert "Exchange" not in physical(constant) and constant.first()["q"][0]["q3"] == 7.0
+    assert quartiles.outlier_counts(df, df.schema.fields).first()["outliers"] == [0, 0]
+
+
+@pytest.mark.parametrize("text,reads", [
+    ("2024-1-5", 2), ("  2024/1/5", 2), ("5/1/2024", 2), ("20240105", 2), ("5 Jan 2024", 2), ("May 5, 2024", 2), ("12345-1-5", 0),
+    ("99-99-9999", 1), ("9999/99/99", 1), ("555-010-0123", 0), ("1-1-1", 0), ("", 0), ("\t2024-01-05", 0), ("é2024-01-05", 0), (None, None),
+])
+def test_texts_that_may_be_dates_are_all_tried(spark, text, reads):
+    df = spark.createDataFrame([(text, "x")], "s string, note string")
+    tried = df.selectExpr(f"{values.each_text(['s', 'note'], values.date_reading)} AS r", f"{values.date_reading('s')} AS plain").first()
+    assert tried["plain"] == reads
+    assert ((tried["r"] or [None])[0] or 0) == (reads or 0)
+    assert quality.missing_and_formats("t", df, ["s"]).first()["invalid_formats"] == (reads == 0)
+
+
 def test_formats(spark):
     rows = [
         ("a@b.co", "2024-01-05"), ("é.x@b.co", "05/01/2024"), ("a@b", "Jan 5, 2024"),
