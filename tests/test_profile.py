@@ -47,6 +47,52 @@ def test_exact_counts(spark, table):
         assert row["null_percentage"] == round(nulls / len(ROWS) * 100, 2)
 
 
+def test_distinct_values_of_every_part(spark):
+    """Whole and broken numbers, times at and off midnight: none is counted twice or lost."""
+    number = "CASE id % 7 WHEN 0 THEN 0.01D * (id % 90) WHEN 1 THEN -0.01D * (id % 90) WHEN 2 THEN id / 3D WHEN 3 THEN 1e300D WHEN 4 THEN double('inf') WHEN 5 THEN double('-inf') ELSE 123456789012345.5D + id % 2 END"
+    df = spark.range(4000).selectExpr(
+        "id - 2000 AS k", "CASE WHEN id % 2 = 0 THEN -9223372036854775808L ELSE 9223372036854775807L - id % 5 END AS far",
+        f"{number} AS d", f"CAST({number} AS FLOAT) AS f", "CAST(id % 9 AS DECIMAL(9, 2)) AS dec", "id % 2 = 0 AS b",
+        "timestamp_micros((id - 2000) * CASE id % 3 WHEN 0 THEN 86400000000L WHEN 1 THEN 3600000000L ELSE 7L END) AS at",
+        "CAST('1969-12-25 00:00:00' AS TIMESTAMP_NTZ) + make_dt_interval(CAST(id % 50 AS INT), CAST(id % 2 AS INT)) AS wall",
+        "date_from_unix_date(CAST(id % 77 - 30 AS INT)) AS day", "CONCAT('é', id % 64) AS s",
+    )
+    rows = df.collect()
+    got = {r["position"]: r["distinct_count"] for r in profile.profile_columns({"t": df}).collect()}
+    assert got == {i: len({r[i] for r in rows}) for i in range(len(df.columns))}
+
+
+def test_dense_keys_are_shuffled_in_words(spark):
+    """One row for 64 neighbours reaches the shuffle, not one for each value."""
+    df = spark.range(64_000, numPartitions=2).selectExpr("id AS k", "id / 100D AS price")
+    counted = profile.distinct_counts({"t": df})
+    assert {r["distinct_count"] for r in counted.collect()} == {64_000}
+    plan, written = counted._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            return walk(node.plan())
+        metrics = node.metrics()
+        if node.nodeName() == "Exchange" and metrics.contains("shuffleRecordsWritten"):
+            written.append(metrics.apply("shuffleRecordsWritten").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    assert written and max(written) <= 2_100
+
+
+def test_numbers_keep_their_aggregate_beside_texts(spark):
+    facts = profile.column_facts({"t": spark.createDataFrame([(1, "a", 2.0), (3, "b", None)], "k int, s string, d double")}, dates=True)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan
+    got = {r["column_name"]: (r["column_id"], r["row_count"], r["null_count"], r["min_text"], r["max_num"]) for r in facts.collect()}
+    assert got == {"k": (0, 2, 0, "1", 3.0), "s": (1, 2, 0, "a", None), "d": (2, 2, 1, None, 2.0)}
+
+
 def test_types_and_extremes(spark, table):
     got = {r["column_name"]: r for r in profile.profile_columns({"t": table}).collect()}
     types = {n: r["data_type"] for n, r in got.items()}
