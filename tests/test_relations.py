@@ -108,3 +108,34 @@ def test_overlap_reads_values_once(spark):
     assert got == want and len(got) == len(rows)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "y_code" not in plan and "bit_or" not in plan
+
+
+def test_overlap_of_keys_that_share_words_in_part(spark):
+    """Dense, sparse, negative and farthest whole numbers, doubles and days beside them."""
+    far = "CASE id % 3 WHEN 0 THEN -9223372036854775808L + id WHEN 1 THEN 9223372036854775807L - id ELSE id * 1000003 END"
+    tables = {
+        "a": spark.range(-70, 400).selectExpr("id AS x_id"),
+        "b": spark.range(0, 900, 3).selectExpr("id AS x_id"),
+        "c": spark.range(128, 192).selectExpr("CAST(id AS INT) AS x_id"),
+        "d": spark.range(500).selectExpr(f"{far} AS x_id"),
+        "e": spark.range(250, 600).selectExpr(f"{far} AS x_id"),
+        "f": spark.range(300).selectExpr("CASE WHEN id % 2 = 0 THEN id / 2D ELSE id + 0.5D END AS x_id"),
+        "g": spark.range(3).selectExpr("CAST(NULL AS BIGINT) AS x_id"),
+    }
+    held = [{r[0] for r in df.collect() if r[0] is not None} for df in tables.values()]
+    side = "struct<id:int,table_name:string,column_name:string>"
+    asked = [(i, j) for i in range(7) for j in range(i + 1, 7)]
+    pairs = spark.createDataFrame([((i, "abcdefg"[i], "x_id"), (j, "abcdefg"[j], "x_id")) for i, j in asked], f"a {side}, b {side}")
+    got = {(r["a_id"], r["b_id"]): (r["a_distinct"], r["b_distinct"], r["shared"]) for r in relations.value_overlap(tables, pairs).collect()}
+    assert got == {(i, j): (len(held[i]), len(held[j]), len(held[i] & held[j])) for i, j in asked}
+
+
+def test_dense_keys_meet_in_words(spark):
+    """A row for 64 neighbours is grouped, not one for each value."""
+    tables = {t: spark.range(6400, numPartitions=2).selectExpr("id AS x_id") for t in "ab"}
+    cells = {"a": [(0, "x_id")], "b": [(1, "CASE WHEN x_id < 640 THEN x_id END")]}
+    counted = relations._whole_numbers(tables, cells, [0, 0])
+    assert {(tuple(r["members"]), r["n"]) for r in counted.collect()} == {((0, 1), 640), ((0,), 5760)}
+    side = "struct<id:int,table_name:string,column_name:string>"
+    pairs = spark.createDataFrame([((0, "a", "x_id"), (1, "b", "x_id"))], f"a {side}, b {side}")
+    assert relations.value_overlap(tables, pairs).first()["shared"] == 6400
