@@ -67,6 +67,26 @@ def test_rounds_go_on_until_few_values_are_left(spark, monkeypatch):
     assert (got[1]["q1"], got[1]["q3"]) == (0.0, 2.0)
 
 
+@pytest.mark.parametrize("most", [10, 2_000_000])
+def test_columns_of_many_values_begin_with_buckets(spark, monkeypatch, most):
+    """No sketch where buckets tell the values apart; where they don't, or can't, the numbers stay exact."""
+    monkeypatch.setattr(quartiles, "BUCKETS_FROM", 0)
+    monkeypatch.setattr(quartiles, "MOST_VALUES", most)
+    df = spark.range(20_000, numPartitions=3).selectExpr(
+        "pmod(xxhash64(id), 99991) AS even", "exp(pmod(id, 400) - 200D) AS tail", "CASE WHEN id % 3 > 0 THEN -0.07D ELSE id * 0.01D END AS ties",
+        "CASE WHEN id < 3 THEN double('inf') WHEN id < 6 THEN -1.7e308D ELSE id END AS wide", "CASE WHEN id % 2 = 0 THEN id * 1e-320D END AS tiny",
+    )
+    rows, sketched, cells = df.collect(), quartiles._sketched, []
+    monkeypatch.setattr(quartiles, "_sketched", lambda numbers, c, *rest: cells.extend(c) or sketched(numbers, c, *rest))
+    got = quartiles.quartiles(df, df.schema.fields).first()["q"]
+    for at, name in enumerate(df.columns):
+        held = [float(r[name]) for r in rows if r[name] is not None]
+        assert got[at]["n"] == len(held)
+        assert [got[at]["q1"], got[at]["q3"]] == pytest.approx(list(np.quantile(held, [0.25, 0.75])), rel=1e-14), name
+    if most > 10:
+        assert not any("x0" in c or "x2" in c for c in cells)
+
+
 def test_extreme_doubles(spark):
     values = [-1.7e308, -1e308, -3.0, 0.0, 2.0, 5.0, 1e308, 1.7e308]
     df = spark.createDataFrame([(v,) for v in values], "v double")
